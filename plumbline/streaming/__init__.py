@@ -1,0 +1 @@
+"""Intentionally empty: every operator of this engine is a batch DataFrame job (see README)."""
