@@ -97,7 +97,8 @@ def with_frames(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not need:
         return body
-    return "with " + ", ".join(f"{n} as ({defs[n]})" for n in need) + " " + body
+    head = "with " + ", ".join(f"{n} as ({defs[n]})" for n in need)
+    return f"{head}, {body[5:]}" if body.startswith("with ") else f"{head} {body}"
 
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None) -> Callable[[Run], Run]:
