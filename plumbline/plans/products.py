@@ -80,17 +80,18 @@ def interval_status(src: Sources) -> DataFrame:
 def verified_restoration(src: Sources, share: float = 0.5) -> DataFrame:
     """Outage end: first read time with at least `share` of the feeder's meters on, else the reported end."""
     served = customers_served(src)
+    # the read time is kept only where the feeder counts as restored, so its lineage includes the usage read
     recovered = (
         feeder_slots(src)
         .join(served, "feeder_id")
-        .where(F.col("meters_on") >= share * F.col("customers_served"))
-        .select("feeder_id", "read_ts")
+        .select("feeder_id", F.when(F.col("meters_on") >= share * F.col("customers_served"), F.col("read_ts")).alias("on_ts"))
+        .where(F.col("on_ts").isNotNull())
     )
     windows = src["outages"].select("outage_id", "feeder_id", "start_ts", "end_ts")
     first_on = (
-        interval_join(windows, recovered, ["feeder_id"], "start_ts", "end_ts", "read_ts")
+        interval_join(windows, recovered, ["feeder_id"], "start_ts", "end_ts", "on_ts")
         .groupBy("outage_id")
-        .agg(F.min("read_ts").alias("first_on_ts"))
+        .agg(F.min("on_ts").alias("first_on_ts"))
     )
     return (
         src["outages"]

@@ -97,8 +97,11 @@ def with_frames(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not need:
         return body
-    head = "with " + ", ".join(f"{n} as ({defs[n]})" for n in need)
-    return f"{head}, {body[5:]}" if body.startswith("with ") else f"{head} {body}"
+    frames = ", ".join(f"{n} as ({defs[n]})" for n in need)
+    for head in ("with recursive ", "with "):
+        if body.startswith(head):
+            return f"{head}{frames}, {body[len(head):]}"
+    return f"with {frames} {body}"
 
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None) -> Callable[[Run], Run]:
