@@ -57,3 +57,88 @@ def with_tracers(src: Sources, rows: dict[str, list[tuple]] | None = None) -> di
         "reads": ["meter_id", "read_ts", "kwh_delivered", "kwh_received"],
     }
     return {n: inject(df, rows[n], order[n]) if n in rows else df for n, df in src.items()}
+
+
+def key_column(df: DataFrame, primary_key: list[str]) -> str | None:
+    """First string column, keys first, that holds tracer rows; one aggregate over all of them."""
+    texts = text_columns(df)
+    order = [c for c in primary_key if c in texts] + [c for c in texts if c not in primary_key]
+    if not order:
+        return None
+    row = df.agg(*[F.max(is_tracer(c)).alias(c) for c in order]).first()
+    return next((c for c in order if row[c]), None)
+
+
+def isolate(df: DataFrame) -> DataFrame:
+    """Only rows with a tracer key in some string column."""
+    test = F.lit(False)
+    for c in text_columns(df):
+        test = test | F.coalesce(is_tracer(c), F.lit(False))
+    return df.where(test)
+
+
+def expected_rows(model, src: Sources, key: str) -> DataFrame:
+    """What a product must hold for the tracers: the same product over the tracer rows alone."""
+    return model({n: isolate(df) for n, df in src.items()}).where(is_tracer(key))
+
+
+CLOSE = 1e-9
+
+
+def mismatches(expected: DataFrame, actual: DataFrame, primary_key: list[str]) -> DataFrame:
+    """(key, column, expected, actual) per differing cell; a missing row counts as one.
+
+    The expected side has a few tracer rows, so the join is a broadcast of measured size.
+    """
+    cols = [c for c in expected.columns if c not in primary_key and c in actual.columns]
+    right = actual.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(primary_key)], *[F.col(c).alias(f"_a_{c}") for c in cols], F.lit(True).alias("_found"))
+    on = F.lit(True)
+    for i, k in enumerate(primary_key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    types = dict(expected.dtypes)
+    cells = []
+    for c in cols:
+        e, a = F.col(c), F.col(f"_a_{c}")
+        near = F.abs(e - a) <= CLOSE if types[c] in ("double", "float") else e == a
+        same = F.coalesce(near, e.isNull() & a.isNull())
+        cells.append(F.struct((~same).alias("bad"), F.lit(c).alias("column"), e.cast("string").alias("expected"), a.cast("string").alias("actual")))
+    lost = F.struct(F.lit(True).alias("bad"), F.lit(None).cast("string").alias("column"), F.lit("row").alias("expected"), F.lit("missing").alias("actual"))
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in primary_key]).alias("key")
+    return (
+        expected.join(right, on, "left")
+        .select(key, F.inline(F.when(F.col("_found"), F.array(*cells)).otherwise(F.array(lost))))
+        .where("bad")
+        .drop("bad")
+    )
+
+
+def report(found: DataFrame, most: int = 50) -> DataFrame:
+    return found.orderBy("key", "column").limit(most)
+
+
+def latest_status(results: DataFrame) -> DataFrame:
+    """Latest published verification per product, from (product, context, passed, checked, checked_at, result_id)."""
+    last = F.max_by(F.struct("passed", "checked", "checked_at"), F.struct("checked_at", "result_id")).alias("r")
+    return results.where(F.col("context") == "published").groupBy("product").agg(last).select("product", "r.*")
+
+
+def matrix(records: DataFrame, expected: dict[str, DataFrame], actual: dict[str, DataFrame], keys: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Tracer record by product: passed, failed, or empty where no expected row is related to the record.
+
+    records(record_id, link): the keys a record is known by (its own, its meter's and its feeder's);
+    keys: per product the tracer key column and the primary key.
+    """
+    cells = None
+    for name, exp in expected.items():
+        column, pk = keys[name]
+        bad = mismatches(exp, actual[name], pk).select("key").distinct().withColumn("_bad", F.lit(True))
+        own = [F.col(column)] + ([F.col("outage_id")] if "outage_id" in exp.columns else [])
+        rows = exp.select(F.concat_ws("|", *[F.col(k).cast("string") for k in pk]).alias("key"), F.explode(F.array_distinct(F.array(*own))).alias("link"))
+        rows = rows.join(bad, "key", "left").select("link", F.lit(name).alias("product"), F.col("_bad").isNull().alias("ok"))
+        cells = rows if cells is None else cells.unionByName(rows)
+    return (
+        records.join(cells, "link", "left")
+        .groupBy("record_id")
+        .pivot("product", sorted(expected))
+        .agg(F.bool_and("ok"))
+    )
