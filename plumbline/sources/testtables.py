@@ -167,3 +167,69 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         prev.alias("prev_artifact_id"),
         F.col("text").alias("content"),
     )
+
+
+def market(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Parts as products, orders as certificates over them, order lines as their lineage and artifacts."""
+    line, part, orders = (table(spark, sf_dir, n) for n in ("lineitem", "part", "orders"))
+    sold = line.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.max("l_shipdate").alias("last_refreshed_at"),
+        F.round(F.avg((F.col("l_discount") <= 0.08).cast("double")), 4).alias("quality_score"),
+        F.array_sort(F.collect_set(F.when(F.col("l_discount") > 0.08, F.col("l_returnflag")))).alias("failing"),
+    )
+    held = F.col("p_brand") == "Brand#3"
+    products = part.join(sold, "p_partkey").select(
+        F.col("p_partkey").alias("product"),
+        "last_refreshed_at",
+        (F.col("p_size") * 24.0 * 4).alias("sla_hours"),
+        F.when(held, "held").otherwise("ok").alias("refresh_status"),
+        F.when(held, "drift under review").alias("held_reason"),
+        "quality_score",
+        F.array_join("failing", ",").alias("failing_tests"),
+        (F.col("p_size") % 4 + 1).alias("criticality"),
+        (F.col("p_size") % 3).cast("double").alias("credits"),
+        "p_type",
+        "p_size",
+    )
+    newest = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_returnflag")
+    artifacts = line.groupBy(F.col("l_partkey").alias("product")).agg(F.max(newest).alias("a")).select(
+        "product",
+        F.col("a.l_orderkey").alias("artifact_id"),
+        F.when(F.col("a.l_linestatus") == "O", "builder").otherwise("human:x").alias("agent"),
+        F.when(F.col("a.l_returnflag") == "N", "auto-gate").when(F.col("a.l_returnflag") == "R", "reviewer").alias("approved_by"),
+        (F.col("a.l_linestatus") == "O").alias("is_agent"),
+    )
+    return {
+        "products": products,
+        "artifacts": artifacts,
+        "certs": orders.select(
+            F.col("o_orderkey").alias("cert_id"), F.col("o_custkey").alias("asked_by"), F.col("o_orderdate").alias("issued_at")
+        ),
+        "nodes": line.select(F.col("l_orderkey").alias("cert_id"), F.col("l_partkey").alias("product")),
+        "metrics": line.select(
+            F.col("l_orderkey").alias("cert_id"),
+            F.col("l_partkey").alias("product"),
+            F.concat("l_returnflag", "l_linestatus").alias("name"),
+            (~((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"))).alias("certified"),
+        ).distinct(),
+    }
+
+
+def served_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answered questions as stored answers: who got which plan shape, when, and in which policy scope."""
+    who = users(spark, sf_dir).select(F.col("user_id").alias("consumer"), "role", "region")
+    scope = F.when(F.col("role").isin("admin", "data_engineer", "ops_director"), "ALL").otherwise(F.coalesce("region", F.lit("NONE")))
+    return (
+        questions(spark, sf_dir)
+        .where(F.col("outcome") == "answered")
+        .join(who.withColumnRenamed("consumer", "asked_by"), "asked_by")
+        .select(
+            F.col("question_id").alias("cert_id"),
+            F.col("asked_by").alias("consumer"),
+            F.col("asked_at").alias("served_at"),
+            F.when(F.col("topic") % 2 == 0, "export").otherwise("answer").alias("kind"),
+            F.element_at(F.array(F.lit("total"), F.lit("by_day"), F.lit("by_feeder")), F.col("topic") % 3 + 1).alias("shape"),
+            scope.alias("scope"),
+            "topic",
+        )
+    )
