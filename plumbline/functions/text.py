@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]{2,}"  # two or more word characters
 PLAIN = r"[a-z0-9]+"
@@ -105,16 +104,3 @@ def rank_documents(queries: DataFrame, documents: DataFrame, query_id: str, docu
     )
     return queries.select(query_id, F.col(text).alias("_q")).join(scored, "_q").drop("_q")
 
-
-def unit_vectors(docs: DataFrame, key: str, terms: Column, weight: Column | None = None) -> DataFrame:
-    """(key, term, w): length-one smoothed TF-IDF vectors; `weight` is how many copies a row stands for."""
-    tf = term_counts(docs, key, terms)
-    copies = docs.select(key, (weight if weight is not None else F.lit(1)).cast("double").alias("_copies"))
-    n = copies.agg(F.sum("_copies")).scalar()
-    df = tf.join(copies, key).groupBy("term").agg(F.sum("_copies").alias("df"))
-    w = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.pow("w", F.lit(2)))).alias("_len"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("_len")).alias("w"))
-
-
-TERM_SCHEMA = T.ArrayType(T.StringType())
