@@ -86,11 +86,19 @@ def order_statistics(df: DataFrame, wanted: list[tuple[str, int]], in_memory: in
     return [float(t.value) for t in targets if t.value is not None]
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], in_memory: int = IN_MEMORY) -> dict[tuple[str, float], float | None]:
-    """Linearly interpolated quantiles per column; None where a column has no values."""
+def exact_quantiles(
+    df: DataFrame, columns: list[str], probabilities: list[float], in_memory: int = IN_MEMORY, rows: int | None = None
+) -> dict[tuple[str, float], float | None]:
+    """Linearly interpolated quantiles per column; None where a column has no values.
+
+    A table known to have few `rows` is left to Spark's own exact percentile.
+    """
     if not columns:
         return {}
     nums = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    if rows is not None and rows <= in_memory:
+        got = nums.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probabilities])).alias(c) for c in columns]).first()
+        return {(c, p): None if got[c] is None else float(got[c][i]) for c in columns for i, p in enumerate(probabilities)}
     counts = nums.agg(*[F.count(c).alias(c) for c in columns]).first()
     wanted: list[tuple[str, int]] = []
     for c in columns:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.positions import with_position
@@ -31,12 +31,10 @@ def _runs(df: DataFrame, side: str) -> DataFrame:
     plain = df.toDF(*cols)
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(f"k{i}") for i, c in enumerate(cols)]
     counted = settle(plain.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")), "runs")
-    placed = with_position(counted.select("*", *keys), [k for k in [f"k{i}" for i in range(len(cols))]] + cols, "i")
+    placed = with_position(counted.select("*", *keys), [f"k{i}" for i in range(len(cols))] + cols, "i")
     # prefix sums of the run lengths: totals per block of positions, then within a block
     block = 10_000
     placed = settle(placed.withColumn("b", F.expr(f"i div {block}")), "runs")
-    from pyspark.sql import Window
-
     sums = placed.groupBy("b").agg(F.sum("n").alias("s"))
     order = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("b", F.coalesce(F.sum("s").over(order), F.lit(0)).alias("before"))
@@ -54,7 +52,10 @@ def value_divergence(old: DataFrame, new: DataFrame) -> float:
     A different number of rows or columns, or any differing non-numeric value, counts as 1. Equal rows are
     collapsed into runs of positions, so neither a long result nor a repeated row meets in one task.
     """
-    if len(old.columns) != len(new.columns) or old.count() != new.count():
+    if len(old.columns) != len(new.columns):
+        return 1.0
+    old, new = settle(old, "old"), settle(new, "new")
+    if old.count() != new.count():
         return 1.0
     a, b = _runs(old, "a"), _runs(new, "b")
     at = F.timestamp_micros

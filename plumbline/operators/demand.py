@@ -146,7 +146,7 @@ def attach(questions: DataFrame, intents: DataFrame, distance: float = CLUSTER_D
     docs = distinct.select(F.concat(F.lit("q"), "form").alias("doc"), "copies").unionByName(
         intents.select(F.concat(F.lit("i"), "intent_id").alias("doc")).distinct().withColumn("copies", F.lit(1).cast("bigint"))
     )
-    v = unit_vectors(docs, "doc", i_tf.unionByName(q_tf))
+    v = settle(unit_vectors(docs, "doc", i_tf.unionByName(q_tf)), "vectors")
     is_intent = F.col("doc").startswith("i")
     q = v.where(~is_intent).select(F.substring("doc", 2, 1 << 30).alias("form"), "term", F.col("w").alias("wq"))
     i = v.where(is_intent).select(F.substring("doc", 2, 1 << 30).alias("intent"), "term", F.col("w").alias("wi"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import demand as D
 from plumbline.queries.base import query
 from plumbline.queries.semantic import RETRIEVAL, part_elements, part_questions
+from plumbline.session import settle
 from plumbline.sources.testtables import questions, spoken, table, users
 
 # Glossary over the conversations' vocabulary: (phrase, concept). Phrases overlap on purpose.
@@ -86,7 +87,7 @@ def _(spark, d):
 @query("dem_cluster")
 def _(spark, d):
     """Average-linkage clusters of all spoken questions; checked against a direct computation in the tests."""
-    return D.cluster(asked_terms(spark, d))
+    return D.cluster(settle(asked_terms(spark, d), "terms"))
 
 
 ATTACH = {
@@ -111,7 +112,7 @@ ATTACH = {
 )
 def _(spark, d):
     """Opening questions form ten intents; later questions join the nearest close one."""
-    terms = asked_terms(spark, d)
+    terms = settle(asked_terms(spark, d), "terms")
     turn = F.col("question_id") % 1000
     conv = F.expr("question_id div 1000")
     opening = terms.where(turn <= 1).select((conv % 10).alias("intent_id"), "question_id", "terms")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from plumbline.operators import drift as D
@@ -362,15 +359,14 @@ def _matrix_sql():
 @query("sen_matrix", _matrix_sql(), extra=TRACERS)
 def _(spark, d):
     """Per tracer record: does its rounded daily consumption hold, does its feeder's reliability."""
-    src = tracer_sources(spark, d)
+    src = {n: settle(f, n) for n, f in tracer_sources(spark, d).items()}
     feeder = {m[0]: m[1] for m in X.TRACER_METERS}
     links = [(f"R{i:02d}", x) for i, r in enumerate(X.TRACER_READS, 1) for x in (r[0], feeder[r[0]])]
     links += [(f"O{i:02d}", x) for i, o in enumerate(X.TRACER_OUTAGES, 1) for x in (o[0], o[1])]
     records = spark.createDataFrame(links, "record_id string, link string")
     keys = {"consumption": ("meter_id", ["read_date", "meter_id"]), "reliability": ("feeder_id", ["day", "feeder_id"])}
     models = {"consumption": P.consumption_daily, "reliability": _reliability}
-    spine = {"reliability": src}
     expected = {n: X.expected_rows(m, src, keys[n][0]) for n, m in models.items()}
     damaged = {**src, "reads": src["reads"].withColumn(OLD, F.round(OLD))}
-    actual = {"consumption": models["consumption"](damaged), "reliability": models["reliability"](spine["reliability"])}
+    actual = {"consumption": models["consumption"](damaged), "reliability": models["reliability"](src)}
     return X.matrix(records, expected, actual, keys)

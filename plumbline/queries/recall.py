@@ -59,9 +59,8 @@ FRAMES = {
 def _both(asked, src):
     """Results before and after the restatement. They are read several times, so they are stored."""
     asked = settle(asked, "requests")
-    return (
-        settle(R.cells(asked, P.consumption_daily(s), SHAPES, "read_date", "region"), "cells") for s in (src, restated(src))
-    )
+    products = [settle(P.consumption_daily(s), "consumption") for s in (src, restated(src))]
+    return [settle(R.cells(asked, p, SHAPES, "read_date", "region"), "cells") for p in products]
 
 
 def frames(spark, d):
@@ -69,12 +68,15 @@ def frames(spark, d):
     answers = served_answers(spark, d)
     asked = R.requests(answers)
     old, new = _both(asked, src)
-    settings = (
+    return answers, old, new, materiality(spark, d)
+
+
+def materiality(spark, d):
+    return (
         table(spark, d, "customer")
         .where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
         .select(F.col("c_custkey").alias("consumer"), F.when(F.col("c_mktsegment") == "BUILDING", 5.0).otherwise(0.0).alias("materiality_pct"))
     )
-    return answers, old, new, settings
 
 
 def sent_notices(answers, old, new, settings):
@@ -130,14 +132,12 @@ WITH_TOTALS = {
 )
 def _(spark, d):
     """Every answer has a sentence on its own rows; daily answers have a second one on their total."""
-    answers, _, _, settings = frames(spark, d)
-    src = grid(spark, d)
+    answers, settings, src = served_answers(spark, d), materiality(spark, d), grid(spark, d)
     named = answers.select("cert_id", "consumer", "shape", "scope", F.to_date("served_at").alias("as_of"))
     first = named.withColumns({"sentence_no": F.lit(1), "query_ref": F.lit("main")})
     second = named.where("shape = 'by_day'").withColumns({"shape": F.lit("total"), "sentence_no": F.lit(2), "query_ref": F.lit("total")})
     bindings = first.unionByName(second)
-    asked = bindings.select(*R.REQUEST).distinct()
-    old, new = _both(asked, src)
+    old, new = _both(bindings.select(*R.REQUEST).distinct(), src)
     return R.restated_sentences(bindings, old, new, settings)
 
 

@@ -14,9 +14,15 @@ from plumbline.session import ready
 RESTORE_SHARE = 0.1  # reads are sparse in the test tables, so fewer meters prove a restoration
 
 
+_schemas: dict[str, T.StructType] = {}  # by path, so a table's footer is read for its schema only once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; zone-less timestamps become timestamps in the session's UTC."""
-    df = ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = ready(spark).read.parquet(path).schema
+    df = ready(spark).read.schema(_schemas[path]).parquet(path)
     return df.select(
         *[
             F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)
