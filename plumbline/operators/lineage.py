@@ -23,8 +23,11 @@ class _Plan:
     """What each attribute of one analyzed plan is computed from."""
 
     def __init__(self, nodes: list[dict[str, Any]]) -> None:
-        self.parents: dict[int, set[int]] = {}  # attribute id -> ids it is computed from
-        self.sources: dict[int, tuple[str, str]] = {}  # attribute id -> source table and column
+        # attribute id -> what it is computed from: other ids, or (source table, column) where the reference says so
+        self.parents: dict[int, set[Any]] = {}
+        # id leaving a source -> its (table, column); sources built from one another may share ids
+        self.sources: dict[int, set[tuple[str, str]]] = {}
+        self.names: dict[int, str] = {}
         self.tables: set[str] = set()
         self.shared: dict[Any, list[int]] = {}
         self.output = self._visit(iter(nodes))
@@ -57,7 +60,10 @@ class _Plan:
         if kind == "SubqueryAlias":
             name = node["identifier"]["name"]
             if name.startswith(_TAG):
-                self.tables.add(name[len(_TAG) :])
+                table = name[len(_TAG) :]
+                self.tables.add(table)
+                for i in child:
+                    self.sources.setdefault(i, set()).add((table, self.names[i]))
             return child
         if kind == "CTERelationDef":
             self.shared[node.get("id")] = child
@@ -76,24 +82,22 @@ class _Plan:
         for e in expressions:
             head = e[0]
             i = head["exprId"]["id"]
+            self.names[i] = head["name"]
             if head["class"].endswith(".Alias"):
                 self.parents.setdefault(i, set()).update(self._uses(e[1:]))
-            else:
-                self._note(head)
             ids.append(i)
         return ids
 
-    def _note(self, attribute: dict[str, Any]) -> int:
-        i, q = attribute["exprId"]["id"], str(attribute.get("qualifier") or "").strip("[]")
-        if q.startswith(_TAG):
-            self.sources.setdefault(i, (q[len(_TAG) :], attribute["name"]))
-        return i
+    @staticmethod
+    def _reference(attribute: dict[str, Any]) -> Any:
+        q = str(attribute.get("qualifier") or "").strip("[]")
+        return (q[len(_TAG) :], attribute["name"]) if q.startswith(_TAG) else attribute["exprId"]["id"]
 
-    def _uses(self, expression: list[dict[str, Any]]) -> set[int]:
-        out: set[int] = set()
+    def _uses(self, expression: list[dict[str, Any]]) -> set[Any]:
+        out: set[Any] = set()
         for n in expression:
             if n["class"].endswith(".AttributeReference"):
-                out.add(self._note(n))
+                out.add(self._reference(n))
             if isinstance(n.get("plan"), list):
                 out.update(self._visit(iter(n["plan"])))
         return out
@@ -102,15 +106,20 @@ class _Plan:
         found, seen, todo = set(), set(), [attribute]
         while todo:
             i = todo.pop()
-            if i in seen:
-                continue
-            seen.add(i)
-            if i in self.sources:
-                found.add(self.sources[i])
-            else:
-                todo += self.parents.get(i, ())
+            if isinstance(i, tuple):
+                found.add(i)
+            elif i not in seen:
+                seen.add(i)
+                found |= self.sources.get(i, set())
+                todo += () if i in self.sources else self.parents.get(i, ())
         return found
 
+    def top(self, nodes: list[dict[str, Any]]) -> list[Any]:
+        """Output of the plan; where it ends in a projection, the references as written."""
+        head = nodes[0].get("projectList") or []
+        named = {e[0]["exprId"]["id"]: self._reference(e[0]) for e in head if e[0]["class"].endswith(".AttributeReference")}
+        return [named.get(i, i) for i in self.output]
+
 
 def column_edges(dst: str, model: Product, src: Sources) -> list[Edge]:
     """Edges from source columns to the columns of `model`, plus one edge per source table.
@@ -119,8 +128,9 @@ def column_edges(dst: str, model: Product, src: Sources) -> list[Edge]:
     each output is computed from. Conditions of joins and filters do not count, only values do.
     """
     df = model({n: f.alias(f"{_TAG}{n}") for n, f in src.items()})
-    plan = _Plan(json.loads(df._jdf.queryExecution().analyzed().toJSON()))
-    edges = {(t, c, dst, name) for name, i in zip(df.columns, plan.output) for t, c in plan.leaves(i)}
+    nodes = json.loads(df._jdf.queryExecution().analyzed().toJSON())
+    plan = _Plan(nodes)
+    edges = {(t, c, dst, name) for name, i in zip(df.columns, plan.top(nodes)) for t, c in plan.leaves(i)}
     return sorted(edges) + sorted((t, ANY, dst, ANY) for t in plan.tables)
 
 
