@@ -33,7 +33,7 @@ def _runs(df: DataFrame, side: str) -> DataFrame:
     counted = settle(plain.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")), "runs")
     placed = with_position(counted.select("*", *keys), [f"k{i}" for i in range(len(cols))] + cols, "i")
     # prefix sums of the run lengths: totals per block of positions, then within a block
-    block = 10_000
+    block = 1_000_000  # so even a trillion rows leave a million block totals
     placed = settle(placed.withColumn("b", F.expr(f"i div {block}")), "runs")
     sums = placed.groupBy("b").agg(F.sum("n").alias("s"))
     order = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

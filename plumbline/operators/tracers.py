@@ -8,27 +8,21 @@ from pyspark.sql import functions as F
 from plumbline.plans.policy import TRACER_PREFIX
 from plumbline.plans.products import Sources
 
-# Tracer rows for the test grid: a read on each bound of an outage, zeros, and full-precision fractions.
+# Tracer rows for the test grid: reads on both bounds of an outage and inside it, zeros, and fractions that
+# only full precision keeps. One long outage, one shorter than a read interval.
 TRACER_FEEDERS = [("SNTL-F1", "NATION_8", "ASIA")]
 TRACER_METERS = [(f"SNTL-M{i}", "SNTL-F1", "MACHINERY", f"{i} Tracer Way") for i in (1, 2, 3)]
 TRACER_OUTAGES = [
-    ("SNTL-O1", "SNTL-F1", "2024-01-28 10:00:00", "2024-01-28 13:00:00", "WEATHER", 3),
-    ("SNTL-O2", "SNTL-F1", "2024-01-29 08:00:00", "2024-01-29 08:30:00", "EQUIPMENT", 3),
+    ("SNTL-O1", "SNTL-F1", "2024-01-27 06:00:00", "2024-01-27 10:00:00", "WEATHER", 3),
+    ("SNTL-O2", "SNTL-F1", "2024-01-29 15:00:00", "2024-01-29 15:45:00", "EQUIPMENT", 3),
 ]
+_AT_START = {1: 0.0, 2: 0.141592653, 3: 0.0}
+_AT_END = {1: 2.718281828, 2: 0.0, 3: 0.0}
 TRACER_READS = [
-    ("SNTL-M1", "2024-01-28 10:00:00", 0.0, 0.0),
-    ("SNTL-M1", "2024-01-28 11:00:00", 0.0, 0.0),
-    ("SNTL-M1", "2024-01-28 12:00:00", 0.0, 0.0),
-    ("SNTL-M1", "2024-01-28 13:00:00", 0.987654321, 0.0),
-    ("SNTL-M2", "2024-01-28 10:00:00", 0.123456789, 0.0),
-    ("SNTL-M2", "2024-01-28 11:00:00", 0.0, 0.0),
-    ("SNTL-M2", "2024-01-28 12:00:00", 0.0, 0.0),
-    ("SNTL-M3", "2024-01-28 10:00:00", 0.0, 0.0),
-    ("SNTL-M3", "2024-01-28 12:00:00", 0.0, 0.000000001),
-    ("SNTL-M1", "2024-01-29 08:00:00", 0.0, 0.0),
-    ("SNTL-M2", "2024-01-29 08:00:00", 0.333333333, 0.0),
-    ("SNTL-M3", "2024-01-29 08:00:00", 0.0, 0.0),
-]
+    (f"SNTL-M{i}", f"2024-01-27 {hour:02d}:00:00", value, 0.000000001 if (i, hour) == (3, 8) else 0.0)
+    for i in (1, 2, 3)
+    for hour, value in ((6, _AT_START[i]), (8, 0.0), (10, _AT_END[i]))
+] + [(f"SNTL-M{i}", "2024-01-29 15:00:00", 0.577215664 if i == 2 else 0.0, 0.0) for i in (1, 2, 3)]
 TRACER_ROWS = {"feeders": TRACER_FEEDERS, "meters": TRACER_METERS, "outages": TRACER_OUTAGES, "reads": TRACER_READS}
 
 

@@ -34,31 +34,24 @@ CTE = {
     " sum(case when event_type = 'view' then 0.0::double else value end) as kwh_delivered,"
     " sum(case when event_type = 'signup' then value else 0.0::double end) as kwh_received"
     " from events where event_type <> 'error' group by 1, 2",
-    "consumption": "select r.read_ts::date as read_date, r.meter_id, m.feeder_id, f.region,"
-    " sum(r.kwh_delivered) as kwh_delivered, sum(r.kwh_received) as kwh_received, count(*) as read_count"
-    " from reads r join meters m on r.meter_id = m.meter_id join feeders f on f.feeder_id = m.feeder_id group by 1, 2, 3, 4",
-    "interval_status": "select o.outage_id, r.read_ts, count(*) filter (where r.kwh_delivered > 0) as meters_on"
-    " from outages o join meters m on m.feeder_id = o.feeder_id"
-    " join reads r on r.meter_id = m.meter_id and r.read_ts >= o.start_ts and r.read_ts < o.end_ts group by 1, 2",
-    "verified": "select o.outage_id, o.feeder_id, o.start_ts, o.customers_affected, o.cause_code,"
-    " coalesce(min(s.read_ts) filter (where s.meters_on >= 0.1 * k.customers_served), o.end_ts) as restored_ts"
-    " from outages o join served k on k.feeder_id = o.feeder_id left join interval_status s on s.outage_id = o.outage_id"
-    " group by o.outage_id, o.feeder_id, o.start_ts, o.end_ts, o.customers_affected, o.cause_code",
-    "totals": "select feeder_id, start_ts::date as day, count(*) as outage_count,"
-    " count(*) filter (where date_diff('minute', start_ts, restored_ts) > 240) as outage_count_over_4h,"
-    " sum(customers_affected)::bigint as customer_interruptions,"
-    " sum(customers_affected * date_diff('minute', start_ts, restored_ts))::bigint as customer_minutes_interrupted"
-    " from verified group by 1, 2",
+    "consumption": "select read_ts::date as read_date, meter_id, any_value(feeder_id) as feeder_id, any_value(region) as region,"
+    " sum(kwh_delivered) as kwh_delivered, sum(kwh_received) as kwh_received, count(*) as read_count"
+    " from reads join meters using (meter_id) join feeders using (feeder_id) group by 1, 2",
+    "interval_status": "select o.outage_id, r.read_ts, sum((r.kwh_delivered > 0)::int)::bigint as meters_on from reads r"
+    " join meters m using (meter_id) join outages o on o.feeder_id = m.feeder_id where o.start_ts <= r.read_ts and r.read_ts < o.end_ts group by all",
+    # brute force: among the outage's own read times, the earliest with enough meters on (least() skips nulls)
+    "verified": "select o.outage_id, o.feeder_id, o.start_ts, o.customers_affected, o.cause_code, least(o.end_ts, (select min(s.read_ts)"
+    " from interval_status s where s.outage_id = o.outage_id and s.meters_on >= 0.1 * o.customers_affected)) as restored_ts from outages o",
+    "totals": "select feeder_id, start_ts::date as day, count(*) as outage_count, sum((mins > 240)::int)::bigint as outage_count_over_4h,"
+    " sum(customers_affected)::bigint as customer_interruptions, sum(mins * customers_affected)::bigint as customer_minutes_interrupted"
+    " from (select *, date_diff('minute', start_ts, restored_ts) as mins from verified) group by all",
     "days": "select distinct start_ts::date as day from outages",
-    "reliability": "select d.day, f.feeder_id, f.substation_id, f.region, k.customers_served,"
-    " coalesce(a.outage_count, 0) as outage_count, coalesce(a.outage_count_over_4h, 0) as outage_count_over_4h,"
-    " coalesce(a.customer_interruptions, 0) as customer_interruptions,"
-    " coalesce(a.customer_minutes_interrupted, 0)::double as customer_minutes_interrupted,"
-    " coalesce(a.customer_minutes_interrupted, 0) / k.customers_served as saidi,"
-    " coalesce(a.customer_interruptions, 0) / k.customers_served as saifi,"
-    " coalesce(a.customer_minutes_interrupted, 0) / nullif(a.customer_interruptions, 0) as caidi"
-    " from feeders f cross join days d join served k on k.feeder_id = f.feeder_id"
-    " left join totals a on a.feeder_id = f.feeder_id and a.day = d.day",
+    "reliability": "select *, customer_minutes_interrupted / customers_served as saidi, customer_interruptions / customers_served as saifi,"
+    " case when outage_count > 0 then customer_minutes_interrupted / customer_interruptions end as caidi from (select d.day, f.feeder_id,"
+    " f.substation_id, f.region, k.customers_served, ifnull(t.outage_count, 0) as outage_count, ifnull(t.outage_count_over_4h, 0) as"
+    " outage_count_over_4h, ifnull(t.customer_interruptions, 0) as customer_interruptions,"
+    " ifnull(t.customer_minutes_interrupted, 0)::double as customer_minutes_interrupted from (feeders f join served k using (feeder_id))"
+    " cross join days d left join totals t on t.day = d.day and t.feeder_id = f.feeder_id)",
     "users": "select c_custkey as user_id, case c_mktsegment when 'AUTOMOBILE' then 'ops_manager' when 'BUILDING' then 'analyst'"
     " when 'FURNITURE' then 'data_engineer' when 'HOUSEHOLD' then 'ops_director' when 'MACHINERY' then 'admin' end as role,"
     " case when c_acctbal >= 0 then f.region end as region from customer left join feeders f on f.feeder_id = c_nationkey",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import drift as D
@@ -15,6 +17,7 @@ from plumbline.session import settle
 from plumbline.sources.tables import rename_retype
 from plumbline.sources.testtables import RESTORE_SHARE, grid, table
 
+AS_OF = datetime(2024, 1, 31)
 OLD, NEW = "kwh_delivered", "energy_kwh_del"
 PROFILED = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderpriority", "string")]
 
@@ -127,8 +130,8 @@ def lossy(reads):
 
 def _trials(spark, d):
     """Three repairs of the drifted feed: alias only, cast back, and a proposed rounding to whole numbers."""
-    full = X.with_tracers(grid(spark, d, text_keys=True))
-    src = {n: settle(f, n) for n, f in full.items()}
+    recent = D.gate_window(X.with_tracers(grid(spark, d, text_keys=True)), AS_OF - timedelta(days=D.WINDOW_DAYS), AS_OF)
+    src = {n: settle(f, n) for n, f in recent.items()}
     feed = rename_retype(src["reads"], OLD, NEW, "string")
     changes = D.check(feed, D.as_profiles(D.profile(src["reads"])))
     proposal = D.Candidate("whole numbers", F.round(F.col(NEW).cast("double")).cast("int"))
