@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import settle
+
 WORD = r"[\p{L}\p{N}_]{2,}"  # two or more word characters
 PLAIN = r"[a-z0-9]+"
 
@@ -80,17 +82,18 @@ def rank_documents(queries: DataFrame, documents: DataFrame, query_id: str, docu
     def idf(count: Column) -> Column:
         return F.log((n + 2) / (1 + count)) + 1
 
-    d = d.join(df, "term").withColumns({"w0": idf(F.col("df")), "w1": idf(F.col("df") + 1)})
+    d = settle(d.join(df, "term").withColumns({"w0": idf(F.col("df")), "w1": idf(F.col("df") + 1)}), "document-terms")
+    df = d.select("term", "df").distinct()
     d_norm = d.groupBy(document_id).agg(F.sum(F.pow(F.col("d_tf") * F.col("w0"), 2)).alias("d_len"))
 
     texts = queries.select(F.col(text).alias("_q")).distinct()
     q = term_counts(texts, "_q", unigrams_and_bigrams(F.col("_q"))).withColumnRenamed("tf", "q_tf")
-    q = q.join(df, "term", "left").withColumn("w", idf(F.coalesce("df", F.lit(0.0)) + 1)).drop("df")
+    q = settle(q.join(df, "term", "left").withColumn("w", idf(F.coalesce("df", F.lit(0.0)) + 1)).drop("df"), "query-terms")
     q_norm = q.groupBy("_q").agg(F.sum(F.pow(F.col("q_tf") * F.col("w"), 2)).alias("q_len"))
 
     w1, w0 = F.pow("w1", F.lit(2)), F.pow("w0", F.lit(2))
     shared = (
-        q.join(d, "term")
+        q.join(d.drop("df"), "term")
         .groupBy("_q", document_id)
         .agg(
             F.sum(F.col("q_tf") * F.col("d_tf") * w1).alias("dot"),

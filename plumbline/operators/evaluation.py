@@ -83,8 +83,8 @@ def accuracy(answers: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def p95_latency(answers: DataFrame, latency: str = "latency") -> float | None:
-    """Exact, linearly interpolated."""
-    value = exact_quantiles(answers, [latency], [0.95])[latency, 0.95]
+    """Exact, linearly interpolated. Large columns take several passes, so pass stored answers."""
+    value = exact_quantiles(answers, [latency], [0.95], rows=answers.count())[latency, 0.95]
     return None if value is None else round(value, 4)
 
 

@@ -16,7 +16,7 @@ def reach(edges: DataFrame, seeds: DataFrame, inclusive: bool = False, reverse:
     never visited again.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    e = settle(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "edges")
+    e = settle(edges.select(F.col(a).alias("node"), F.col(b).alias("next")), "edges")
     frontier = settle(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
     found, depth = frontier, 0
     while True:

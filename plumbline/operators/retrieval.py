@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import phrase_hits, rank_documents
+from plumbline.session import settle
 
 CONFIDENCE_FLOOR = 0.6
 
@@ -25,7 +26,7 @@ def retrieve(questions: DataFrame, elements: DataFrame, k: int = 15, concepts: D
         covering = phrase_hits(phrases, "phrase", concepts.withColumnRenamed("phrase", "c_phrase"), "c_phrase")
         covering = covering.select("element_id", "kind", "product", "concept").distinct()
         hits = hits.unionByName(asked.join(covering, "concept").drop("concept"))
-    hits = hits.distinct()
+    hits = settle(hits.distinct(), "hits")
     touched = hits.where(F.col("kind").isin("metric", "measure")).select("question_id", "product").distinct()
     dims = touched.join(elements.where("kind = 'dimension'").select("product", "element_id"), "product")
 

@@ -118,7 +118,7 @@ def _answers(spark, d):
     extra=REPLAY,
 )
 def _(spark, d):
-    answers, truth = _answers(spark, d)
+    answers, truth = (settle(f, "answers") for f in _answers(spark, d))
     p95 = E.p95_latency(answers.where("agent = 'v1'"), "qty")
     return E.accuracy(answers, truth).withColumn("p95_latency", F.lit(p95))
 
