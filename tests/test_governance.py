@@ -158,3 +158,25 @@ def test_linking_continues_chains(spark, small):
     got = {r.artifact_id: r.prev_artifact_id for r in L.link(new, old).collect()}
     head = L.heads(old).where("target_fqn = 'product_5'").first()
     assert got == {90001: head.artifact_id if head else None, 90002: 90001, 90003: None}
+
+
+def test_only_large_sources_become_boundary_rows(spark, small):
+    from plumbline.queries.quality import EXPOSURE_CONDITIONS
+
+    src = grid(spark, small)
+    n = {k: df.count() for k, df in src.items()}
+    tried = Q.boundary_sources(src, EXPOSURE_CONDITIONS, large=max(v for k, v in n.items() if k != "reads"))
+    assert n["reads"] > max(v for k, v in n.items() if k != "reads")
+    assert {k: df.count() for k, df in tried.items()} == {**n, "reads": 12}
+    cases = Q.boundary_rows(src, "reads", EXPOSURE_CONDITIONS)
+    assert {r["case"]: r["count"] for r in cases.groupBy("case").count().collect()} == dict.fromkeys([e[0] for e in Q.EDGES], 3)
+    missing = Q.model_problems(P.exposure(src), C.CONSUMPTION, {"customer", "events", "nation"})
+    assert "reads undeclared region" in missing and "missing column read_date" in missing
+
+
+def test_entry_runs(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.entry(spark)
+    assert rows.columns == ["feeder_id", "saidi"] and rows.count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
