@@ -50,4 +50,16 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.settled_at = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames made by `settle()` once nothing reads them any more; other frames are left alone."""
+    for df in frames:
+        path = df.__dict__.get("settled_at")
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
