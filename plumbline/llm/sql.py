@@ -1,9 +1,9 @@
 """DuckDB text that the queries must agree with, written as brute force."""
 
 _EDGES = r"""
-tags as (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages),
-links as (select url, replace(case when regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    when regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) end, '&amp;', '&') as link from tags),
+tags as (select url, unnest(regexp_extract_all(replace(html, '&amp;', '&'), '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages),
+links as (select url, case when regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    when regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) end as link from tags),
 full_links as (select url, case when contains(link, '://') then link when starts_with(link, '//') then regexp_extract(url, '^(.*?)://', 1) || ':' || link
     else regexp_extract(url, '^(.*?://[^/?#]*)', 1) || case when starts_with(link, '/') then link
     else regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || link end end as link

@@ -8,7 +8,7 @@ blocked if an alias is blocked by a rule and no alias is allowed by one (explici
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,23 +20,33 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 _TAG = "(?is)<(?:link|meta)\\b[^>]*>"
 _CANONICAL, _REFRESH = "(?is)\\brel\\s*=\\s*[\"']?canonical\\b", "(?is)\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"
-_HREF, _TARGET = "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)", "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>;]+)"
+_HREF, _TARGET = "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)", "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)"
 
 
-def with_parts(df: DataFrame, url: str, name: str = "") -> DataFrame:
-    """Add host, path and key of the url column, each name after `name`.
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)` with the value worked out once, however often `then` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def url_parts(url: Column) -> Column:
+    """struct(host, path, key) of a url.
 
     Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: what follows up to `?`, `#` or the end;
     both empty without `://` and for null. Key: host, path and query, so that scheme and fragment make no difference; null
     without a host.
     """
-    at = F.instr(F.col(url), F.lit("://"))
-    rest, host, path, key = (name + c for c in ("rest", "host", "path", "key"))
-    df = df.withColumn(rest, F.when(at > 0, F.substring(F.col(url), at + 3, F.length(url))).otherwise(""))
-    low = F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)
-    df = df.withColumn(host, low).withColumn(path, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1))
-    query = F.regexp_extract(rest, "^[^?#]*(\\?[^#]*)?", 1)
-    return df.withColumn(key, F.when(F.col(host) != "", F.concat(host, path, query))).drop(rest)
+
+    def split(rest: Column) -> Column:
+        low = F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)
+        path, query = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.regexp_extract(rest, "^[^?#]*(\\?[^#]*)?", 1)
+        return F.struct(low.alias("host"), path.alias("path"), query.alias("query"))
+
+    def keyed(p: Column) -> Column:
+        key = F.when(p["host"] != "", F.concat(p["host"], p["path"], p["query"]))
+        return F.struct(p["host"].alias("host"), p["path"].alias("path"), key.alias("key"))
+
+    at = F.instr(url, F.lit("://"))
+    return _let(_let(F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(""), split), keyed)
 
 
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
@@ -59,21 +69,21 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     found = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(
         F.col("html").rlike(_CANONICAL) | F.col("html").rlike(_REFRESH)
     )
-    tags = found.select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
+    tag = F.explode(F.regexp_extract_all(F.replace("html", F.lit("&amp;"), F.lit("&")), F.lit(_TAG), F.lit(0)))
+    tags = found.select("url", tag.alias("tag"))
     link = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(
         F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _TARGET, 1)
     )
-    links = tags.select("url", F.replace(link, F.lit("&amp;"), F.lit("&")).alias("link")).where("link <> ''")
-    links = with_parts(links, "url", "page_").withColumn("scheme", F.regexp_extract("url", "^(.*?)://", 1))
-    root = F.concat("scheme", F.lit("://"), "page_host")
-    folder = F.regexp_replace(F.when(F.col("page_path") == "", "/").otherwise(F.col("page_path")), "[^/]*$", "")
+    links = tags.select("url", link.alias("link")).where("link <> ''").withColumn("page", url_parts(F.col("url")))
+    scheme, at = F.regexp_extract("url", "^(.*?)://", 1), F.col("page")
+    folder = F.regexp_replace(F.when(at["path"] == "", "/").otherwise(at["path"]), "[^/]*$", "")
     whole = (
         F.when(F.instr("link", F.lit("://")) > 0, F.col("link"))
-        .when(F.startswith("link", F.lit("//")), F.concat("scheme", F.lit(":"), "link"))
-        .when(F.startswith("link", F.lit("/")), F.concat(root, "link"))
-        .otherwise(F.concat(root, folder, "link"))
+        .when(F.startswith("link", F.lit("//")), F.concat(scheme, F.lit(":"), "link"))
+        .when(F.startswith("link", F.lit("/")), F.concat(scheme, F.lit("://"), at["host"], "link"))
+        .otherwise(F.concat(scheme, F.lit("://"), at["host"], folder, "link"))
     )
-    return with_parts(links.withColumn("whole", whole), "whole", "link_").select(F.col("page_key").alias("u"), F.col("link_key").alias("v"))
+    return links.select(at["key"].alias("u"), url_parts(whole)["key"].alias("v"))
 
 
 def judge_urls(
@@ -89,19 +99,17 @@ def judge_urls(
     `redirects` (from, to) adds edges to those found in the html. A url that is null or has no `://` has no host, no rule and no
     aliases: it is allowed. Other columns are ignored; an empty table gives no rows. A verdict travels over any number of hops.
     """
-    judged = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url")
-    judged = judged.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    judged = pages.select(F.col(id_col).alias("page_id"), url_parts(F.col(url_col)).alias("at"))
+    judged = judged.select("page_id", "at.*", best_rule(F.col("at.host"), F.col("at.path"), rules).alias("best"))
     edges = page_edges(pages, url_col, html_col) if html_col else None
     if redirects is not None:
-        a, b = redirects.columns[:2]
-        told = with_parts(with_parts(redirects.select(F.col(a).alias("a"), F.col(b).alias("b")), "a", "a_"), "b", "b_")
-        told = told.select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))
+        told = redirects.select(*(url_parts(F.col(c))["key"].alias(n) for c, n in zip(redirects.columns, "uv")))
         edges = told if edges is None else edges.unionByName(told)
     cols = ["page_id", "host", "path", F.col("best.rule").alias("rule")]
     if edges is None:
         return judged.select(*cols, F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
-    known = with_parts(components(edges).withColumn("url", F.concat(F.lit("x://"), "node")), "url")
-    known = known.withColumn("own", best_rule(F.col("host"), F.col("path"), rules)["verdict"])
+    known = components(edges).withColumn("at", url_parts(F.concat(F.lit("x://"), "node")))
+    known = known.select("node", "root", best_rule(F.col("at.host"), F.col("at.path"), rules)["verdict"].alias("own"))
     whole = known.groupBy("root").agg(
         F.coalesce(F.max(F.col("own") == "block"), F.lit(False)).alias("blocked"),
         F.coalesce(F.max(F.col("own") == "allow"), F.lit(False)).alias("allowed"),
