@@ -41,3 +41,11 @@ def held_out(doc_id: str | Column) -> Column:
 def utf8(col: str = "text") -> Column:
     """A text as bytes; a missing text is empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that `df` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import fingerprints, packing, token_store, url_rules
+from plumbline.llm import fingerprints, minhash, mixing, packing, quality, substrings, token_store, toxicity, url_rules, vectors
 from plumbline.llm.common import Query, table
 from plumbline.llm.sql import SQL
 
 
+def op1_vector_components(spark, sf_dir):
+    """Links and components of embeddings with a cosine of 0.9 and more."""
+    return vectors.vector_components(table(spark, sf_dir, "embeddings"))
+
+
+def op2_toxicity(spark, sf_dir):
+    """Toxicity of every text."""
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark, sf_dir):
     """Documents in windows of 2048 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -29,6 +39,26 @@ def op6_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_minhash(spark, sf_dir):
+    """Near-duplicate classes on shingles of two words."""
+    return minhash.duplicate_classes(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op8_substrings(spark, sf_dir):
+    """Words covered by passages of 50 words that start in an earlier document too."""
+    return substrings.substring_report(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark, sf_dir):
+    """Probability and draw of every document after raking to source, language and topic."""
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark, sf_dir):
+    """Quality of every text."""
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def all_queries() -> dict[str, Query]:
     found = {n: f for n, f in globals().items() if n.startswith("op")}
     return {n: Query(f, SQL.get(n)) for n, f in sorted(found.items())}
