@@ -39,7 +39,80 @@ def _edges():
     return text
 
 
+def _words(lowered):
+    text = "coalesce(text, '')"
+    if lowered:
+        text = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"list_filter(string_split_regex({text}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _mixing(sweeps=10, temperature=0.7, budget=0.7, seed="mix"):
+    """Raking, calibration and draw, a common table expression a step."""
+    from plumbline.llm.mixing import MARGINALS, TOPICS
+
+    marks = {n: " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}.0" for m in ms) for n, ms in TOPICS.items()}
+    best = f"greatest({', '.join(marks.values())})"
+    topic = "case " + " ".join(f"when {best} > 0 and {m} = {best} then '{n}'" for n, m in marks.items()) + " else 'prose' end"
+    steps = [
+        "d as (select doc_id, source, lang, coalesce(text, '') as t from documents)",
+        f"marked as (select doc_id, source, lang, {topic} as topic, case when trim(t) = '' then 1"
+        " else len(regexp_extract_all(trim(t), '[ \\x09-\\x0D]+')) + 2 end::bigint as tokens from d)",
+        "cells as (select source, lang, topic, sum(tokens)::bigint as tokens, sum(tokens) / (select sum(tokens) from marked)::double as fitted from marked group by all)",
+    ]
+    for m in MARGINALS:
+        steps.append(f"raw_{m} as (select {m}, power(sum(fitted), {temperature}) as g from cells group by 1)")
+        steps.append(f"goal_{m} as (select {m}, g / (select sum(g) from raw_{m}) as g from raw_{m})")
+    last = "cells"
+    for k in range(sweeps):
+        for m in MARGINALS:
+            now = f"f{k}_{m}"
+            steps.append(
+                f"{now} as materialized (select source, lang, topic, tokens, fitted * (select g from goal_{m} q where q.{m} is not distinct from z.{m})"
+                f" / sum(fitted) over (partition by {m}) as fitted from {last} z)"
+            )
+            last = now
+    order = "order by fitted / tokens desc, source nulls first, lang nulls first, topic"
+    steps += [
+        f"c as (select *, fitted / tokens as need, (sum(tokens) over () * {budget} - coalesce(sum(tokens) over ({order} rows between unbounded preceding and 1 preceding), 0))"
+        f" / sum(fitted) over ({order} rows between current row and unbounded following) as factor from {last})",
+        "p as (select source, lang, topic, least(1.0, need * (select factor from c where factor * need <= 1 order by need desc limit 1)) as probability from c)",
+        f"drawn as (select *, ('0x' || substr(md5(doc_id::varchar || ':{seed}'), 1, 12))::bigint / 281474976710656.0 as draw from marked)",
+    ]
+    return (
+        f"with {', '.join(steps)} select doc_id, m.source, m.lang, m.topic, tokens, round(probability, 9) as probability, draw < probability as sampled from drawn m"
+        " join p on p.source is not distinct from m.source and p.lang is not distinct from m.lang and p.topic = m.topic"
+    )
+
+
 SQL = {
+    "op1_vector_components": """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select vec_id as node, vec_id as other from v union select r.node, l.y from reach r join link l on r.other = l.x),
+least_of as (select node, min(other) as c from reach group by 1), n as (select x, count(*) as n from link group by 1)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, coalesce(c, vec_id) = vec_id as kept
+from embeddings left join least_of on node = vec_id left join n on x = vec_id""",
+    "op7_minhash": f"""
+with recursive w as (select doc_id, {_words(True)} as w from documents),
+s as (select doc_id, case when len(w) < 2 then w else list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) end as s from w),
+g as (select doc_id, len(s) as n, unnest(s) as g from s),
+link as (select a.doc_id as x, b.doc_id as y from g a join g b on a.g = b.g and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select doc_id as node, doc_id as other from s union select r.node, l.y from reach r join link l on r.other = l.x),
+least_of as (select node, min(other) as c from reach group by 1)
+select doc_id, len(s)::bigint as n_shingles, c as component_id, c = doc_id as kept from s join least_of on node = doc_id""",
+    "op8_substrings": f"""
+with w as (select doc_id, {_words(False)} as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50),
+h as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from p),
+f as (select h, min(doc_id) as d from h group by 1),
+gone as (select distinct h.doc_id, i + k as pos from h join f on h.h = f.h and h.doc_id > f.d, range(50) r(k)),
+cut as (select doc_id, list(pos) as g from gone group by 1),
+kept as (select w.doc_id, len(w) as n, coalesce(len(g), 0) as r, case when g is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda x: not list_contains(g, x)), lambda x: w[x]) end as k
+    from w left join cut on cut.doc_id = w.doc_id)
+select doc_id, n::bigint as n_words, r::bigint as n_removed, sha256(coalesce(array_to_string(k, ' '), '')) as kept_sha256 from kept""",
+    "op9_mixing": _mixing(),
     "op6_url_rules": f"""
 with recursive parts as (select page_id, url, coalesce({_host('url')}, '') as host, coalesce({_path('url')}, '') as path, {_key('url')} as key from pages),
 {_edges()}
