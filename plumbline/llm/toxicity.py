@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence, Set
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -106,18 +106,18 @@ class Lexicon:
         return min(whole, best) if whole and best else whole or best
 
 
-def learn_entries(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[str, bool]]:
-    """Words and stems at least twenty times as frequent in toxic documents, in one in two hundred of them and three at least.
+def learn_entries(toxic: Sequence[Set[str]], clean: Sequence[Set[str]]) -> list[tuple[str, bool]]:
+    """Words and stems at least twenty times as frequent in toxic documents, in one in a hundred of them and three at least.
 
     A stem gives way to a longer one that is nearly as frequent (97 in 100), in the end to the whole word; what an accepted
     shorter stem covers is left out.
     """
 
-    def terms(words: set[str]) -> set[tuple[str, bool]]:
+    def terms(words: Set[str]) -> set[tuple[str, bool]]:
         return {(w, False) for w in words} | {(w[:k], True) for w in words for k in range(STEM, min(LONG_STEM, len(w) - 1) + 1)}
 
     often = Counter(t for d in toxic for t in terms(d))
-    least = max(3, len(toxic) / 200)
+    least = max(3, len(toxic) / 100)
     often = {t: n for t, n in often.items() if n >= least}
     calm = Counter(t for d in clean for t in terms(d) if t in often)
     good = {t for t, n in often.items() if (n + 0.5) / (len(toxic) + 1) >= 20 * (calm[t] + 0.5) / (len(clean) + 1)}
@@ -202,7 +202,9 @@ def train(texts: list[str], labels: list[int], odds: float | None = None) -> Mod
     bags = [set(WORD.findall(t.lower())) for t in texts]
     if not 0 < ones < len(y):
         return Model([], np.zeros(0), np.array([np.log((ones + 0.5) / (len(y) - ones + 0.5)), *[0.0] * 7]), np.ones(7))
-    entries = learn_entries([b for b, t in zip(bags, labels) if t], [b for b, t in zip(bags, labels) if not t])
+    # copies of a document tell nothing more about its words
+    toxic, clean = ({frozenset(b) for b, t in zip(bags, labels) if t == k} for k in (1, 0))
+    entries = learn_entries(sorted(toxic, key=sorted), sorted(clean, key=sorted))
     model = Model(entries, np.zeros(2 * len(entries)), np.zeros(8), np.ones(7))
     seen = np.zeros((2, max(1, 2 * len(entries))))
     for bag, t in zip(bags, labels):
