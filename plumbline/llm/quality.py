@@ -125,8 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
 
     sample = training_sample(labels, target, most)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(small_side(sample, most), "doc_id")
-    weights, bias = text.select("doc_id", "label", "text").repartition(1).mapInArrow(run, "weights binary, bias double").first()
-    return Model(np.frombuffer(weights, np.float32), bias)
+    found = text.select("doc_id", "label", "text").repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(found[0], np.float32), found[1]) if found else train([], [])
 
 
 def score_texts(docs: DataFrame, model, out: str = "score") -> DataFrame:
