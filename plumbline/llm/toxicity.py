@@ -208,8 +208,8 @@ def train(texts: list[str], labels: list[int], odds: float | None = None) -> Mod
     if not 0 < ones < len(y):
         return Model([], np.zeros(0), np.array([np.log((ones + 0.5) / (len(y) - ones + 0.5)), *[0.0] * 7]), np.ones(7))
     # copies of a document tell nothing more about its words
-    toxic, clean = ({frozenset(b) for b, t in zip(bags, labels) if t == k} for k in (1, 0))
-    entries = learn_entries(sorted(toxic, key=sorted), sorted(clean, key=sorted))
+    toxic, clean = (list({x: b for x, b, t in zip(texts, bags, labels) if t == k}.values()) for k in (1, 0))
+    entries = learn_entries(toxic, clean)
     model = Model(entries, np.zeros(2 * len(entries)), np.zeros(8), np.ones(7))
     seen = np.zeros((2, max(1, 2 * len(entries))))
     for bag, t in zip(bags, labels):
