@@ -55,8 +55,8 @@ def _mixing(sweeps=10, temperature=0.7, budget=0.7, seed="mix"):
     topic = "case " + " ".join(f"when {best} > 0 and {m} = {best} then '{n}'" for n, m in marks.items()) + " else 'prose' end"
     steps = [
         "d as (select doc_id, source, lang, coalesce(text, '') as t from documents)",
-        f"marked as (select doc_id, source, lang, {topic} as topic, case when trim(t) = '' then 1"
-        " else len(regexp_extract_all(trim(t), '[ \\x09-\\x0D]+')) + 2 end::bigint as tokens from d)",
+        f"marked as (select doc_id, source, lang, {topic} as topic,"
+        " 1 + case when t = '' then 0 else 1 + length(t) - length(replace(replace(t, ' ', ''), chr(10), '')) end as tokens from d)",
         "cells as (select source, lang, topic, sum(tokens)::bigint as tokens, sum(tokens) / (select sum(tokens) from marked)::double as fitted from marked group by all)",
     ]
     for m in MARGINALS:
@@ -75,7 +75,7 @@ def _mixing(sweeps=10, temperature=0.7, budget=0.7, seed="mix"):
     steps += [
         f"c as (select *, fitted / tokens as need, (sum(tokens) over () * {budget} - coalesce(sum(tokens) over ({order} rows between unbounded preceding and 1 preceding), 0))"
         f" / sum(fitted) over ({order} rows between current row and unbounded following) as factor from {last})",
-        "p as (select source, lang, topic, least(1.0, need * (select factor from c where factor * need <= 1 order by need desc limit 1)) as probability from c)",
+        "p as (select source, lang, topic, least(1.0, need * (select factor from c where factor * need <= 1 + 1e-12 order by need desc limit 1)) as probability from c)",
         f"drawn as (select *, ('0x' || substr(md5(doc_id::varchar || ':{seed}'), 1, 12))::bigint / 281474976710656.0 as draw from marked)",
     ]
     return (
