@@ -5,9 +5,10 @@
    its smallest doc_id: copies cost no pairs.
 2. Classes that share a band hash meet in a bucket, whose smallest class is its pivot. Every member is verified against the
    pivot on full sets, once however many buckets they share; links of 0.8 and more give components.
-3. What is left are members of one bucket that ended in different components. Jaccard distance is a metric, so two of them can
-   only be linked if their distances to the pivot differ by at most 0.2; sizes must agree as well. Those pairs are verified on
-   full sets too, and components are joined. So no link among candidates is lost, though no bucket is expanded into pairs.
+3. What is left are members of one bucket that ended in different components. With their shingles ordered from rare to common,
+   two sets of similarity 0.8 have their first common shingle so early in both that what follows can still hold the overlap
+   they need. Members of open buckets are joined on such shingles alone, within classes of size, then verified on full sets,
+   and components are joined. So no link among candidates is lost, though no bucket is expanded into pairs.
 
 At a similarity of 0.8, seven rows and 48 bands miss a pair with probability 1.3e-5 = (1 - 0.8^7)^48.
 """
@@ -29,6 +30,8 @@ from plumbline.session import discard, settle
 ROWS, BANDS = 7, 48
 HASHES = ROWS * BANDS
 SIMILAR = 80  # in hundredths
+#: Slots in which the pool's shingles are counted, and the ratio between classes of size.
+SLOTS, STEP = 1 << 18, 1.1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 _CHUNK = 2048
@@ -39,6 +42,10 @@ def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
     return Words(raw.translate(_LOWER)).shingles(shingle)
 
 
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 class Minima:
     def __init__(self, seed: int = 1):
         draw = np.random.default_rng(seed).integers(0, 1 << 63, (3, HASHES), dtype=np.int64).view(np.uint64)
@@ -115,6 +122,68 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     return checked
 
 
+def _overlap(n: int, m: int) -> int:
+    """The smallest intersection that makes sets of n and m similar."""
+    return -(-SIMILAR * (n + m) // (100 + SIMILAR))
+
+
+def _size_class(n: int) -> int:
+    return int(np.log(n) / np.log(STEP) + 1e-9)
+
+
+def _prefix_pairs(docs: DataFrame, pool: DataFrame, shingle: int) -> DataFrame:
+    """Pairs (a, b) of the stored `pool` (rep, n, root, out) that may be similar: in different components, at least one of them
+    out of its bucket's. Each has a row per shingle of its prefix and size class (asked: per class that it may be similar to).
+
+    Shingles are ordered by how often their hash slot occurs in the pool, then by hash: SLOTS counts are all that is broadcast."""
+    spark = docs.sparkSession
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text"))
+    text = text.join(small_side(pool.withColumnRenamed("rep", "id"), pool.count()), "id")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                np.add.at(total, _slot(shingle_set(raw.as_py(), shingle)), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+    counted = text.select("text").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    often = np.zeros(SLOTS, np.int64)
+    for slot, n in counted:
+        often[slot] = n
+    often = spark.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for rep, raw, root, out in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                s = shingle_set(raw, shingle)
+                s = s[np.lexsort((s, often.value[_slot(s)]))].view(np.int64)
+                n = len(s)
+                low, high = -(-SIMILAR * n // 100), 100 * n // SIMILAR
+                lots = [(False, _size_class(n), n - _overlap(n, low) + 1)]
+                if out:
+                    for c in range(_size_class(low), _size_class(high) + 1):
+                        least = max(low, int(np.ceil(STEP**c * (1 - 1e-9) - 1e-6)))
+                        lots.append((True, c, n - _overlap(n, least) + 1))
+                for asks, c, k in lots:
+                    for col, value in zip(cols, (rep, root, n, asks, c, s[: max(0, k)], np.arange(max(0, k)))):
+                        col.append(np.broadcast_to(value, max(0, k)))
+            flat = [np.concatenate(c) if c else np.zeros(0) for c in cols]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(f.astype(k.to_pandas_dtype()), k) for f, k in zip(flat, kinds)], names=["rep", "root", "n", "asks", "class", "g", "at"])
+
+    rows = text.select("id", "text", "root", "out").mapInArrow(prefixes, "rep long, root long, n int, asks boolean, class int, g long, at int")
+    rows = settle(rows, "prefixes")
+    x = rows.where("not asks").drop("asks")
+    y = rows.where("asks").select("class", "g", *(F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n", "at")))
+    need = SIMILAR * (F.col("n") + F.col("y_n"))
+    room = F.least(F.col("n") - F.col("at"), F.col("y_n") - F.col("y_at"))
+    fits = (F.col("root") != F.col("y_root")) & ((100 + SIMILAR) * room >= need) & (100 * F.least("n", "y_n") >= SIMILAR * F.greatest("n", "y_n"))
+    return x.join(y, ["class", "g"]).where(fits).select(F.greatest("rep", "y_rep").alias("a"), F.least("rep", "y_rep").alias("b")).distinct()
+
+
 def _linked(verified: DataFrame) -> DataFrame:
     return verified.where(100 * F.col("shared") >= SIMILAR * F.col("together")).select("a", "b")
 
@@ -126,7 +195,6 @@ def duplicate_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     kept). Rows with equal ids belong to one component. Fewer words than a shingle are one shingle. Other columns are ignored;
     an empty table gives no rows.
     """
-    far = (100 - SIMILAR) / 100
     signed = sign_documents(docs, shingle)
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = settle(
@@ -144,30 +212,13 @@ def duplicate_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     root = known.select(F.col("node").alias("rep"), "root")
     pivot_root = known.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    exact = 1 - F.col("shared") / F.col("together")
-    apart = first.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), exact.alias("d"))
-    least = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-    placed = members.join(root, "rep", "left").join(pivot_root, "pivot", "left").join(apart, ["rep", "pivot"], "left")
-    placed = placed.select(
-        "band", "rep", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("pivot_root", "pivot").alias("pivot_root"),
-        F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", least)).alias("low"),
-        F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("high"),
-        (F.col("rep") == F.col("pivot")).alias("is_pivot"),
-    )
+    placed = members.join(root, "rep", "left").join(pivot_root, "pivot", "left")
+    placed = placed.select("band", "rep", "n", F.coalesce("root", "rep").alias("root"), (F.coalesce("root", "rep") != F.coalesce("pivot_root", "pivot")).alias("out"))
     placed = settle(placed, "placed")
     # a bucket whose members all share the pivot's component has nothing left to test
-    open_ = placed.where("root <> pivot_root and not is_pivot")
-    y = open_.select("band", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "root", "low", "high")))
-    x = placed.where("not is_pivot").join(open_.select("band").distinct(), "band", "left_semi")
-    meet = (
-        (F.col("root") != F.col("y_root"))
-        & ((F.col("root") == F.col("pivot_root")) | (F.col("rep") < F.col("y_rep")))
-        & (100 * F.least("n", "y_n") >= SIMILAR * F.greatest("n", "y_n"))
-        & (F.col("y_low") <= F.col("high") + far + 1e-9)
-        & (F.col("low") <= F.col("y_high") + far + 1e-9)
-    )
-    more = x.join(y, "band").where(meet).select(F.greatest("rep", "y_rep").alias("a"), F.least("rep", "y_rep").alias("b")).distinct()
-    more = settle(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    open_ = placed.where("out").select("band").distinct()
+    pool = placed.join(open_, "band", "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max("out").alias("out"))
+    more = settle(_prefix_pairs(docs, settle(pool, "pool"), shingle).join(pairs, ["a", "b"], "left_anti"), "pairs")
     joined = known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_linked(verify(docs, more, shingle)))
     known = settle(components(joined), "components")
     discard(members, pairs, first, placed, more)
