@@ -106,10 +106,6 @@ def mismatches(expected: DataFrame, actual: DataFrame, primary_key: list[str]) -
     )
 
 
-def report(found: DataFrame, most: int = 50) -> DataFrame:
-    return found.orderBy("key", "column").limit(most)
-
-
 def latest_status(results: DataFrame) -> DataFrame:
     """Latest published verification per product, from (product, context, passed, checked, checked_at, result_id)."""
     last = F.max_by(F.struct("passed", "checked", "checked_at"), F.struct("checked_at", "result_id")).alias("r")

@@ -320,7 +320,7 @@ def _(spark, d):
     src = tracer_sources(spark, d)
     expected = X.expected_rows(P.consumption_daily, src, "meter_id")
     actual = P.consumption_daily({**src, "reads": src["reads"].withColumn(OLD, F.round(OLD))})
-    found = X.report(X.mismatches(expected, actual, ["read_date", "meter_id"]))
+    found = X.mismatches(expected, actual, ["read_date", "meter_id"])
     return found.select(F.substring_index("key", "|", -1).alias("meter_id"), "column")
 
 
