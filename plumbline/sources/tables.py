@@ -67,12 +67,11 @@ class VersionedTable:
         w.parquet(self._version_path(version))
 
     def publish(self, version: int) -> None:
-        """Point readers at `version`: an appended pointer row, the highest sequence number wins."""
-        seq = self._pointers().count() if self._exists() else 0
-        row = [(seq + 1, version)]
-        self.spark.createDataFrame(row, "seq bigint, version int").coalesce(1).write.mode("append").parquet(
-            f"{self.path}/_pointer"
-        )
+        """Point readers at `version`: one folder per sequence number, the highest wins. Of two writers that take the same
+        number, the second fails and may publish again."""
+        seq = (self._pointers().agg(F.max("seq")).first()[0] if self._exists() else 0) + 1
+        row = self.spark.createDataFrame([(version,)], "version int").coalesce(1)
+        row.write.mode("errorifexists").parquet(f"{self.path}/_pointer/seq={seq}")
 
     def _exists(self) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -80,13 +79,13 @@ class VersionedTable:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def _pointers(self) -> DataFrame:
-        return self.spark.read.schema("seq bigint, version int").parquet(f"{self.path}/_pointer")
+        return self.spark.read.schema("version int, seq bigint").parquet(f"{self.path}/_pointer")
 
     def current_version(self) -> int:
         return self._pointers().agg(F.max_by("version", "seq")).first()[0]
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self._version_path(version or self.current_version()))
+        return self.spark.read.parquet(self._version_path(self.current_version() if version is None else version))
 
     def swap_in(self, df: DataFrame, version: int, partition_by: list[str] | None = None) -> DataFrame:
         self.write(df, version, partition_by)
