@@ -106,12 +106,17 @@ def _as_struct(p: Policy) -> Column:
 
 
 def decisions(users: DataFrame, policies: list[Policy]) -> DataFrame:
-    """One row per user and policy. The policy list is configuration, so it travels as a literal array."""
+    """One row per user and policy. The policy list is configuration, so it travels as a literal array.
+
+    A row filter is filled from the users' column of its own attribute; a column that is missing counts as null."""
     p = F.col("_p")
     row_filter = p["kind"] == "row_filter"
     exempt = F.array_contains(p["exempt_roles"], F.col("role"))
-    value, who = F.col("region"), F.col("user_id").cast("string")
-    filled = F.replace(p["expression"], F.lit(":user.region"), F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'")))
+    value, who = F.lit(None).cast("string"), F.col("user_id").cast("string")
+    for a in sorted({x.attribute for x in policies if x.attribute in users.columns}):
+        value = F.when(p["attribute"] == a, F.col(a).cast("string")).otherwise(value)
+    safe = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))  # as `quoted`
+    filled = F.replace(p["expression"], F.concat(F.lit(":user."), p["attribute"]), F.concat(F.lit("'"), safe, F.lit("'")))
     predicate = F.when(exempt, None).when(~row_filter, p["expression"]).when(value.isNull(), "FALSE").otherwise(filled)
     sentence = (
         F.when(~row_filter & exempt, F.concat_ws(" ", p["column"], F.lit("shown unmasked to"), who))
