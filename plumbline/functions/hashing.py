@@ -25,25 +25,23 @@ def canonical_row(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.concat_ws("|", *[F.concat(F.lit(f"{n}="), canonical_value(df, n)) for n in names])
 
 
+def hash_sums(row: Column) -> list[Column]:
+    """Five sums over the slices of each row's SHA-256: free of order, fixed in size, combined before a shuffle."""
+    h = F.sha2(row, 256)
+    slices = [F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast(T.DecimalType(20, 0)) for i in range(5)]
+    return [F.coalesce(F.sum(x).cast("string"), F.lit("0")) for x in slices]
+
+
+def table_digest(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(row_count, digest) of a table, or of each group, of any size; nothing is collected."""
+    n = F.count(F.lit(1))
+    text = F.concat_ws("|", n.cast("string"), *hash_sums(canonical_row(df, columns)))
+    return df.groupBy(*(by or [])).agg(n.alias("row_count"), F.sha2(text, 256).alias("digest"))
+
+
 def result_hash(df: DataFrame, by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """SHA-256 over the sorted canonical rows of each (small) result."""
-    by = by or []
-    rows = df.select(*by, canonical_row(df, columns).alias("_row"))
-    return rows.groupBy(*by).agg(
-        F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("_row"))), 256).alias("result_hash"),
-        F.count(F.lit(1)).alias("row_count"),
-    )
-
-
-def table_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Order-free digest of a table of any size: row hashes add up in fixed-size state, nothing is collected."""
-    h = F.sha2(canonical_row(df, columns), 256)
-    parts = [
-        F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast(T.DecimalType(20, 0))).alias(f"p{i}") for i in range(5)
-    ]
-    total = df.agg(F.count(F.lit(1)).alias("row_count"), *parts)
-    text = F.concat_ws("|", F.col("row_count").cast("string"), *[F.coalesce(F.col(f"p{i}").cast("string"), F.lit("0")) for i in range(5)])
-    return total.select("row_count", F.sha2(text, 256).alias("digest"))
+    """The digest of each result, as (by, result_hash, row_count)."""
+    return table_digest(df, columns, by).withColumnRenamed("digest", "result_hash").select(*(by or []), "result_hash", "row_count")
 
 
 def keyed_digest(message: Column, key: bytes) -> Column:

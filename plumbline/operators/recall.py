@@ -10,8 +10,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from plumbline.functions.hashing import result_hash
 from plumbline.functions.times import window_columns
 
 DEFAULT_MATERIALITY_PCT = 1.0
@@ -115,10 +115,7 @@ def max_change(diffs: DataFrame, by: list[str]) -> DataFrame:
 
 def digest(df: DataFrame, by: list[str]) -> DataFrame:
     """Order-free digest of each result, in fixed-size state."""
-    v = F.coalesce(F.round("value", PLACES).cast(T.DecimalType(38, PLACES)).cast("string"), F.lit("null"))
-    h = F.sha2(F.concat_ws("|", "key", "metric", v), 256)
-    part = [F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast(T.DecimalType(20, 0))).cast("string") for i in range(5)]
-    return df.groupBy(*by).agg(F.sha2(F.concat_ws("|", *part), 256).alias("result_hash"))
+    return result_hash(df, by, ["key", "metric", "value"]).drop("row_count")
 
 
 def notices(

@@ -166,8 +166,10 @@ def _(spark, d):
 
 @query(
     "sem_result_hash",
-    "select region, sha256(string_agg(r, chr(10) order by r)) as result_hash, count(*) as row_count from (select region,"
-    " 'feeder_id=' || feeder_id || '|saidi=' || coalesce(v::decimal(38,4)::varchar, 'null') as r from"
+    "select region, sha256(count(*)"
+    + "".join(f" || '|' || sum(('0x' || substr(h, {1 + 12 * i}, 12))::bigint)::decimal(38,0)::varchar" for i in range(5))
+    + ") as result_hash, count(*) as row_count from (select region,"
+    " sha256('feeder_id=' || feeder_id || '|saidi=' || coalesce(v::decimal(38,4)::varchar, 'null')) as h from"
     f" (select region, feeder_id, {SAIDI} as v from reliability group by 1, 2)) group by 1",
 )
 def _(spark, d):
