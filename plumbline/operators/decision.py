@@ -12,7 +12,6 @@ from plumbline.functions.text import rank_documents
 from plumbline.functions.times import window_bounds
 from plumbline.plans.policy import TRACER_PREFIX
 
-LIMIT = 1_000_000  # largest driver increment tried
 MATCH_FLOOR = 0.15
 
 # Totals a threshold metric is made of, and the metrics over them.
@@ -67,12 +66,12 @@ def _parts() -> dict[str, Column]:
     return {n: F.col(n) for n in (*PARTS, "periods")}
 
 
-def _with_row(driver: str, delta: Column) -> dict[str, Column]:
-    """Parts after adding one synthetic row of the month worth `delta` driver units."""
+def _with_row(driver: str, delta: Column, rounded: bool = True) -> dict[str, Column]:
+    """Parts after adding one synthetic row of the month worth `delta` driver units; unrounded, they are linear in `delta`."""
     p = _parts()
     for n, unit in DRIVERS[driver].items():
         add = unit(F.coalesce(F.col("avg_served"), F.lit(0.0))) * delta
-        p[n] = p[n] + (F.rint(add).cast("bigint") if n in WHOLE else add)
+        p[n] = p[n] + (F.rint(add).cast("bigint") if rounded and n in WHOLE else add)
     p["periods"] = p["periods"] + F.when(F.col("has_first"), 0).otherwise(1)
     return p
 
@@ -103,18 +102,28 @@ def counterfactual(totals: DataFrame, t: Threshold, driver: str, delta: int) ->
     return totals.select("scope_value", _value(t, _with_row(driver, F.lit(delta))).alias("value"))
 
 
-def sensitivity(totals: DataFrame, t: Threshold, limit: int = LIMIT) -> DataFrame:
-    """(scope_value, flip_delta): smallest driver increment that crosses the threshold, for all scopes at once.
+def sensitivity(totals: DataFrame, t: Threshold) -> DataFrame:
+    """(scope_value, flip_delta): smallest whole driver increment that crosses the threshold, for all scopes at once.
 
-    Doubling then bisection, as expressions over each scope's totals; every probe evaluates the metric
-    itself. 0 if crossed already, null if the limit does not suffice.
+    0 if crossed already, null if no increment ever crosses. A metric is linear in the increment but for the rounding of whole
+    numbers: the line gives the place, and bisection around it, as wide as rounding can shift it, the exact increment.
     """
+    driver = str(t.driver)
+
     def flips(delta: Column) -> Column:
-        return _crossed(t, _value(t, _with_row(str(t.driver), delta)))
+        return _crossed(t, _value(t, _with_row(driver, delta)))
+
+    def line(delta: int, part: str | None = None) -> Column:
+        parts = _with_row(driver, F.lit(delta), rounded=False)
+        return (_value(t, parts) if part is None else parts[part]).cast("double")
 
-    powers = [1 << i for i in range(limit.bit_length()) if 1 << i <= limit]
-    doublings = F.array(*[F.lit(p).cast("bigint") for p in powers])
-    start = F.struct(F.shiftright("_hi", 1).alias("lo"), F.col("_hi").alias("hi"))
+    up = t.comparator.startswith(">")
+    slope = (line(1) - line(0)) * (1 if up else -1)
+    place = (F.lit(t.value) - line(0)) * (1 if up else -1) / F.col("_slope")
+    # half a unit of a whole-number part is worth this many increments at most
+    wide = [F.try_divide(F.lit(1.0), F.abs(line(1, p) - line(0, p))) for p in WHOLE if p in DRIVERS[driver]]
+    slack = F.ceil(F.coalesce(F.greatest(F.lit(0.0), *wide), F.lit(0.0))) + 2
+    start = F.struct(F.greatest(F.floor("_place") - slack, F.lit(0)).cast("bigint").alias("lo"), (F.ceil("_place") + slack).cast("bigint").alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
         mid = F.shiftright(s["lo"] + s["hi"], 1)
@@ -123,12 +132,12 @@ def sensitivity(totals: DataFrame, t: Threshold, limit: int = LIMIT) -> DataFram
             F.when(inside & ~flips(mid), mid).otherwise(s["lo"]).alias("lo"), F.when(inside & flips(mid), mid).otherwise(s["hi"]).alias("hi")
         )
 
-    steps = F.sequence(F.lit(1), F.lit(len(powers)))
-    found = F.aggregate(steps, start, halve, lambda s: s["hi"])
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, halve, lambda s: s["hi"])
     return (
         totals.withColumn("_now", flips(F.lit(0).cast("bigint")))
-        .withColumn("_hi", F.try_element_at(F.filter(doublings, flips), F.lit(1)))
-        .select("scope_value", F.when(F.col("_now"), 0).when(F.col("_hi").isNotNull(), found).cast("bigint").alias("flip_delta"))
+        .withColumn("_slope", slope)
+        .withColumn("_place", F.when(F.col("_slope") > 0, place))
+        .select("scope_value", F.when(F.col("_now"), 0).when(F.col("_place").isNotNull(), found).cast("bigint").alias("flip_delta"))
     )
 
 

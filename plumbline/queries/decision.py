@@ -51,14 +51,15 @@ def _(spark, d):
     return df.withColumn("value", F.round("value", 4))
 
 
-TRIED = "range(0, 524289) r(n)"
+# solved, not searched: minutes + avg_served * 241 * n > 30000 * served / periods
+NEED = "30000 * served / (periods + case when has_first then 0 else 1 end) - minutes"
 
 
 @query(
     "dec_sensitivity",
-    f"select 'saidi' as metric, scope_value, min(r.n) filter (where {WITH_ROW.format(d='r.n')} > 30000) as flip_delta from scopes,"
-    f" {TRIED} group by 2 union all select 'customers_interrupted', scope_value, min(r.n) filter (where interruptions + r.n >= 5000)"
-    f" from scopes, {TRIED} group by 2",
+    f"select 'saidi' as metric, scope_value, case when served > 0 and {NEED} < 0 then 0 when served > 0 and avg_served > 0"
+    f" then floor(({NEED}) / (avg_served * 241))::bigint + 1 end::bigint as flip_delta from scopes union all select"
+    " 'customers_interrupted', scope_value, greatest(0, 5000 - interruptions)::bigint from scopes",
     extra=REGIONS,
 )
 def _(spark, d):
