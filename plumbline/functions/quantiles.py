@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-IN_MEMORY = 100_000
+GAP = 10_000  # values that a pass may fetch to index
 
 
 @dataclass
@@ -35,17 +35,17 @@ class _Target:
         return F.lit(0) if self.lo is None else F.count_if(F.col(self.column) <= self.lo)
 
 
-def order_statistics(df: DataFrame, wanted: list[tuple[str, int]], in_memory: int = IN_MEMORY) -> list[float]:
+def order_statistics(df: DataFrame, wanted: list[tuple[str, int]], gap: int = GAP) -> list[float]:
     """k-th smallest values, exactly.
 
     Each pass narrows every target to the gap between two approximate quantiles around its rank (a few
     parts in ten thousand of the rows), taking the quantile itself when the rank falls on its run of equal
-    values. A gap small enough is fetched and indexed. No pass holds more than `in_memory` values.
+    values. A gap small enough is fetched and indexed. No pass holds more than `gap` values of a target.
     """
     targets = [_Target(c, k) for c, k in wanted]
     while open_ := [t for t in targets if t.value is None]:
         sizes = df.agg(*[x for i, t in enumerate(open_) for x in (t.below().alias(f"b{i}"), F.count_if(t.inside()).alias(f"m{i}"))]).first()
-        small = [(t, sizes[f"b{i}"]) for i, t in enumerate(open_) if sizes[f"m{i}"] <= in_memory]
+        small = [(t, sizes[f"b{i}"]) for i, t in enumerate(open_) if sizes[f"m{i}"] <= gap]
         if small:
             picks = [
                 F.element_at(F.array_sort(F.collect_list(F.when(t.inside(), F.col(t.column)))), t.k - b + 1).alias(f"v{i}")
@@ -53,7 +53,7 @@ def order_statistics(df: DataFrame, wanted: list[tuple[str, int]], in_memory: in
             ]
             for (t, _), v in zip(small, df.agg(*picks).first()):
                 t.value = float(v)
-        large = [(t, sizes[f"b{i}"], sizes[f"m{i}"]) for i, t in enumerate(open_) if sizes[f"m{i}"] > in_memory]
+        large = [(t, sizes[f"b{i}"], sizes[f"m{i}"]) for i, t in enumerate(open_) if sizes[f"m{i}"] > gap]
         if not large:
             continue
         near = df.agg(
@@ -86,26 +86,18 @@ def order_statistics(df: DataFrame, wanted: list[tuple[str, int]], in_memory: in
     return [float(t.value) for t in targets if t.value is not None]
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], in_memory: int = IN_MEMORY, rows: int | None = None
-) -> dict[tuple[str, float], float | None]:
-    """Linearly interpolated quantiles per column; None where a column has no values.
-
-    A table known to have few `rows` is left to Spark's own exact percentile.
-    """
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], gap: int = GAP) -> dict[tuple[str, float], float | None]:
+    """Linearly interpolated quantiles per column; None where a column has no values. Tables of any size go the same way."""
     if not columns:
         return {}
     nums = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if rows is not None and rows <= in_memory:
-        got = nums.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probabilities])).alias(c) for c in columns]).first()
-        return {(c, p): None if got[c] is None else float(got[c][i]) for c in columns for i, p in enumerate(probabilities)}
     counts = nums.agg(*[F.count(c).alias(c) for c in columns]).first()
     wanted: list[tuple[str, int]] = []
     for c in columns:
         for p in probabilities if counts[c] else []:
             rank = p * (counts[c] - 1)
             wanted += [(c, math.floor(rank)), (c, math.ceil(rank))]
-    found = dict(zip(wanted, order_statistics(nums, wanted, in_memory)))
+    found = dict(zip(wanted, order_statistics(nums, wanted, gap)))
     out: dict[tuple[str, float], float | None] = {}
     for c in columns:
         for p in probabilities:
