@@ -160,20 +160,65 @@ def test_linking_continues_chains(spark, small):
     assert got == {90001: head.artifact_id if head else None, 90002: 90001, 90003: None}
 
 
-def test_only_large_sources_become_boundary_rows(spark, small):
+def test_boundary_rows_and_model_problems(spark, small):
     from plumbline.queries.quality import EXPOSURE_CONDITIONS
 
     src = grid(spark, small)
-    n = {k: df.count() for k, df in src.items()}
-    tried = Q.boundary_sources(src, EXPOSURE_CONDITIONS, large=max(v for k, v in n.items() if k != "reads"))
-    assert n["reads"] > max(v for k, v in n.items() if k != "reads")
-    assert {k: df.count() for k, df in tried.items()} == {**n, "reads": 12}
     cases = Q.boundary_rows(src, "reads", EXPOSURE_CONDITIONS)
     assert {r["case"]: r["count"] for r in cases.groupBy("case").count().collect()} == dict.fromkeys([e[0] for e in Q.EDGES], 3)
     missing = Q.model_problems(P.exposure(src), C.CONSUMPTION, {"customer", "events", "nation"})
     assert "reads undeclared region" in missing and "missing column read_date" in missing
 
 
+def test_model_inputs_of_tables_in_many_files(spark, small, tmp_path):
+    for t in ("customer", "events", "nation", "region"):
+        spark.read.parquet(f"{small}/{t}.parquet").repartition(5).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert Q.model_inputs(P.consumption_daily(grid(spark, str(tmp_path)))) == ["customer", "events", "nation", "region"]
+
+
+def test_filters_on_several_attributes(spark):
+    from plumbline.plans.policy import Policy, Principal, decide, decisions
+
+    policies = [Policy(f"p-{a}", "t", "row_filter", f"{a} = :user.{a}", attribute=a) for a in ("region", "market", "absent")]
+    rows = [("u1", "analyst", "ASIA", "o'x\\y"), ("u2", "analyst", None, "m"), ("u3", "admin", "ASIA", None)]
+    got = decisions(spark.createDataFrame(rows, "user_id string, role string, region string, market string"), policies).collect()
+    assert len(got) == 9
+    for u, role, region, market in rows:
+        for p in policies:
+            d = decide(p, Principal(u, role, region, {"market": market}))
+            g = next(r for r in got if r.user_id == u and r.policy_id == p.policy_id)
+            assert (g.applied, g.predicate, g.sentence) == (d.applied, d.predicate, d.sentence)
+    text = next(r.predicate for r in got if r.user_id == "u1" and r.policy_id == "p-market")
+    assert spark.createDataFrame([(rows[0][3],)], "market string").where(text).count() == 1
+
+
+def test_version_zero_and_one_winner(spark, tmp_path):
+    from plumbline.sources.tables import VersionedTable
+
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.swap_in(spark.range(3), 0)
+    t.swap_in(spark.range(5), 1)
+    assert (t.read().count(), t.read(0).count(), t.current_version()) == (5, 3, 1)
+    t.publish(0)
+    assert t.current_version() == 0
+
+
+def test_flip_is_found_at_any_distance(spark):
+    from plumbline.operators import decision as N
+
+    schema = "scope_value string, minutes double, interruptions bigint, served bigint, avg_served double, periods bigint, has_first boolean"
+    rows = [("near", 10.0, 5, 100, 10.0, 1, True), ("far", 0.0, 0, 10**9, 0.001, 1, False), ("never", 0.0, 0, 0, 0.0, 1, True), ("done", 1e9, 10**9, 10, 1.0, 2, True)]
+    totals = spark.createDataFrame(rows, schema)
+    for t in (N.Threshold("saidi", ">", 50.0, "outage_count_over_4h"), N.Threshold("customers_interrupted", ">=", 40.0, "outage_count_over_4h")):
+        for r in N.sensitivity(totals, t).collect():
+            own = totals.where(f"scope_value = '{r.scope_value}'")
+            crossed = lambda n: (v := N.counterfactual(own, t, t.driver, n).first().value) > t.value or (t.comparator == ">=" and v == t.value)  # noqa: B023, E731
+            if r.flip_delta is None:
+                assert r.scope_value == "never"
+            else:
+                assert crossed(r.flip_delta) and (not r.flip_delta or not crossed(r.flip_delta - 1))
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
