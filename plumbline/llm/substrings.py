@@ -75,10 +75,13 @@ def scan_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return settle(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, _SCAN), "spans")
 
 
-def _of_text(docs: DataFrame, per_doc: DataFrame, rows: int) -> DataFrame:
-    """Texts next to the ranges kept for their documents."""
+def _of_text(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """Texts next to the ranges kept for their documents; other texts do not leave the scan if those documents are few enough to
+    broadcast their ids."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    return text.join(small_side(per_doc, rows), "doc_id").select("doc_id", "tag", "text", "x", "y")
+    ids = settle(per_doc.select("doc_id").distinct(), "ids")
+    text = text.join(small_side(ids, ids.count()), "doc_id", "left_semi")
+    return text.join(per_doc, "doc_id").select("doc_id", "tag", "text", "x", "y")
 
 
 def _ranges(df: DataFrame) -> DataFrame:
@@ -103,7 +106,8 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int = WINDOW) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "tag", "x", "c1", "c2"])
 
     spans = scan.select("doc_id", "tag", F.inline(F.arrays_zip("span", "c1", "c2", "a", "b")))
-    shared = spans.groupBy("span").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("n")).where("m < n").select("span")
+    # stored apart, so that Spark can split the join where a span is in very many documents
+    shared = settle(spans.groupBy("span").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("n")).where("m < n").select("span"), "shared")
     level1 = settle(spans.join(shared, "span", "left_semi"), "level1")
     around = settle(level1.groupBy("span", "c1", "c2").agg(F.min("doc_id").alias("earliest")), "level2")
     several = around.groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span", F.lit(True).alias("several"))
@@ -111,12 +115,11 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int = WINDOW) -> D
     whole = level2.where("doc_id > earliest").select("doc_id", "tag", F.col("a").alias("x"), (F.col("b") + window).alias("y"))
     single = level2.where("doc_id = earliest and several").select("doc_id", "tag", F.col("a").alias("x"), F.col("b").alias("y"))
     single = settle(_ranges(single), "level3")
-    amount = single.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]
-    level3 = settle(_of_text(docs, single, amount).mapInArrow(windows, "doc_id long, tag long, x int, c1 long, c2 long"), "windows")
+    level3 = settle(_of_text(docs, single).mapInArrow(windows, "doc_id long, tag long, x int, c1 long, c2 long"), "windows")
     least = level3.groupBy("c1", "c2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("n")).where("earliest < n")
     ones = level3.join(least, ["c1", "c2"]).where("doc_id > earliest").select("doc_id", "tag", "x", (F.col("x") + window).alias("y"))
     found = settle(_ranges(whole.unionByName(ones)), "ranges")
-    discard(level1, around, single, level3)
+    discard(shared, level1, around, single, level3)
     return found
 
 
@@ -152,10 +155,9 @@ def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    n, amount = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("x")), F.lit(0))).first()
-    rest = scan.join(small_side(found.select("doc_id", "tag"), n), ["doc_id", "tag"], "left_anti")
+    rest = scan.join(small_side(found.select("doc_id", "tag"), found.count()), ["doc_id", "tag"], "left_anti")
     rest = rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"))
-    changed = _of_text(docs, found, amount).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    changed = _of_text(docs, found).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return rest.unionByName(changed)
 
 
@@ -165,10 +167,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     scan = scan_documents(docs, window)
     found = repeated_ranges(docs, scan, window)
     discard(scan)
-    amount = found.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]
     key, cuts = fresh("cut_doc", docs), fresh("cuts", docs)
     per_doc = found.select(F.col("doc_id").alias(key), F.struct("tag", "x", "y").alias("cut"))
-    per_doc = per_doc.groupBy(key).agg(F.collect_list("cut").alias(cuts))
+    per_doc = settle(per_doc.groupBy(key).agg(F.collect_list("cut").alias(cuts)), "cuts")
+    ids = small_side(per_doc.select(key), per_doc.count())
+    here = docs["doc_id"].cast("long") == F.col(key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +187,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    joined = docs.join(small_side(per_doc, amount), docs["doc_id"].cast("long") == F.col(key), "left").drop(key)
-    touched = joined.where(F.col(cuts).isNotNull()).mapInArrow(cut, docs.schema)
-    out = joined.where(F.col(cuts).isNull()).drop(cuts).unionByName(touched)
+    touched = docs.join(ids, here, "left_semi").join(per_doc, here).drop(key).mapInArrow(cut, docs.schema)
+    out = docs.join(ids, here, "left_anti").unionByName(touched)
     if "n_chars" not in docs.columns:
         return out
     kind = docs.schema["n_chars"].dataType
