@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.policy import TRACER_PREFIX
 from plumbline.plans.products import Sources
 
-# Tracer rows for the test grid: reads on both bounds of an outage and inside it, zeros, and fractions that
-# only full precision keeps. One long outage, one shorter than a read interval.
-TRACER_FEEDERS = [("SNTL-F1", "NATION_8", "ASIA")]
-TRACER_METERS = [(f"SNTL-M{i}", "SNTL-F1", "MACHINERY", f"{i} Tracer Way") for i in (1, 2, 3)]
-TRACER_OUTAGES = [
-    ("SNTL-O1", "SNTL-F1", "2024-01-27 06:00:00", "2024-01-27 10:00:00", "WEATHER", 3),
-    ("SNTL-O2", "SNTL-F1", "2024-01-29 15:00:00", "2024-01-29 15:45:00", "EQUIPMENT", 3),
-]
-_AT_START = {1: 0.0, 2: 0.141592653, 3: 0.0}
-_AT_END = {1: 2.718281828, 2: 0.0, 3: 0.0}
-TRACER_READS = [
-    (f"SNTL-M{i}", f"2024-01-27 {hour:02d}:00:00", value, 0.000000001 if (i, hour) == (3, 8) else 0.0)
-    for i in (1, 2, 3)
-    for hour, value in ((6, _AT_START[i]), (8, 0.0), (10, _AT_END[i]))
-] + [(f"SNTL-M{i}", "2024-01-29 15:00:00", 0.577215664 if i == 2 else 0.0, 0.0) for i in (1, 2, 3)]
-TRACER_ROWS = {"feeders": TRACER_FEEDERS, "meters": TRACER_METERS, "outages": TRACER_OUTAGES, "reads": TRACER_READS}
+# What the tracers must show of the products over the test grid: a read counts at a window's start and inside it, not at its
+# end; off, on and barely on are told apart; both directions of flow and nine decimals arrive; all this in a window of many
+# reads, in one shorter than the time between reads, and in one that crosses the end of a month.
+WINDOWS = {
+    "long": (datetime(2024, 1, 18, 2), timedelta(hours=7), "WEATHER"),
+    "brief": (datetime(2024, 1, 23, 13, 10), timedelta(minutes=30), "EQUIPMENT"),
+    "month-end": (datetime(2024, 1, 31, 22), timedelta(hours=4), "PLANNED"),
+}
+#: meter -> (share of the window passed at its read, delivered, received)
+PROBES = {"start": (0.0, 0.0, 0.0), "inside": (0.5, 0.000000123, 0.5), "end": (1.0, 1.000000123, 0.0)}
+
+
+def tracer_rows() -> dict[str, list[tuple]]:
+    """One feeder, a meter per probe, an outage per window, and the read of each probe in each window."""
+    feeder = f"{TRACER_PREFIX}feeder"
+    outages, reads = [], []
+    for name, (start, length, cause) in WINDOWS.items():
+        outages.append((TRACER_PREFIX + name, feeder, str(start), str(start + length), cause, len(PROBES)))
+        reads += [(TRACER_PREFIX + probe, str(start + share * length), out, back) for probe, (share, out, back) in PROBES.items()]
+    return {
+        "feeders": [(feeder, "NATION_3", "AMERICA")],
+        "meters": [(TRACER_PREFIX + probe, feeder, "BUILDING", f"{probe} of every window") for probe in PROBES],
+        "outages": outages,
+        "reads": reads,
+    }
+
+
+TRACER_ROWS = tracer_rows()
 
 
 def is_tracer(c: str):

@@ -258,10 +258,10 @@ def _values(rows):
 
 
 TRACERS = {
-    "t_feeders": f"select * from (values {_values(X.TRACER_FEEDERS)}) v(feeder_id, substation_id, region)",
-    "t_meters": f"select * from (values {_values(X.TRACER_METERS)}) v(meter_id, feeder_id, meter_type, service_address)",
+    "t_feeders": f"select * from (values {_values(X.TRACER_ROWS['feeders'])}) v(feeder_id, substation_id, region)",
+    "t_meters": f"select * from (values {_values(X.TRACER_ROWS['meters'])}) v(meter_id, feeder_id, meter_type, service_address)",
     "t_reads": "select meter_id, read_ts::timestamp as read_ts, kwh_delivered::double as kwh_delivered, kwh_received::double as"
-    f" kwh_received from (values {_values(X.TRACER_READS)}) v(meter_id, read_ts, kwh_delivered, kwh_received)",
+    f" kwh_received from (values {_values(X.TRACER_ROWS['reads'])}) v(meter_id, read_ts, kwh_delivered, kwh_received)",
     "t_daily": "select r.read_ts::date as read_date, r.meter_id, m.feeder_id, f.region, sum(r.kwh_delivered) as kwh_delivered,"
     " sum(r.kwh_received) as kwh_received, count(*) as read_count from t_reads r join t_meters m on m.meter_id = r.meter_id"
     " join t_feeders f on f.feeder_id = m.feeder_id group by 1, 2, 3, 4",
@@ -345,12 +345,12 @@ def _(spark, d):
 
 
 def _matrix_sql():
-    feeder = {m[0]: m[1] for m in X.TRACER_METERS}
+    feeder = {m[0]: m[1] for m in X.TRACER_ROWS['meters']}
     rows = []
-    for i, r in enumerate(X.TRACER_READS, 1):
+    for i, r in enumerate(X.TRACER_ROWS['reads'], 1):
         rows.append(f"('R{i:02d}', '{r[0]}')")
-    rows += [f"('O{i:02d}', '{o[1]}')" for i, o in enumerate(X.TRACER_OUTAGES, 1)]
-    assert set(feeder.values()) == {"SNTL-F1"}
+    rows += [f"('O{i:02d}', '{o[1]}')" for i, o in enumerate(X.TRACER_ROWS['outages'], 1)]
+    assert len(set(feeder.values())) == 1
     return (
         "select v.record_id, bool_and(abs(c.e - c.a) <= 1e-9) as consumption, true as reliability from (values "
         + ", ".join(rows)
@@ -363,9 +363,9 @@ def _matrix_sql():
 def _(spark, d):
     """Per tracer record: does its rounded daily consumption hold, does its feeder's reliability."""
     src = {n: settle(f, n) for n, f in tracer_sources(spark, d).items()}
-    feeder = {m[0]: m[1] for m in X.TRACER_METERS}
-    links = [(f"R{i:02d}", x) for i, r in enumerate(X.TRACER_READS, 1) for x in (r[0], feeder[r[0]])]
-    links += [(f"O{i:02d}", x) for i, o in enumerate(X.TRACER_OUTAGES, 1) for x in (o[0], o[1])]
+    feeder = {m[0]: m[1] for m in X.TRACER_ROWS['meters']}
+    links = [(f"R{i:02d}", x) for i, r in enumerate(X.TRACER_ROWS['reads'], 1) for x in (r[0], feeder[r[0]])]
+    links += [(f"O{i:02d}", x) for i, o in enumerate(X.TRACER_ROWS['outages'], 1) for x in (o[0], o[1])]
     records = spark.createDataFrame(links, "record_id string, link string")
     keys = {"consumption": ("meter_id", ["read_date", "meter_id"]), "reliability": ("feeder_id", ["day", "feeder_id"])}
     models = {"consumption": P.consumption_daily, "reliability": _reliability}
