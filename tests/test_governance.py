@@ -160,12 +160,15 @@ def test_linking_continues_chains(spark, small):
     assert got == {90001: head.artifact_id if head else None, 90002: 90001, 90003: None}
 
 
-def test_boundary_rows_and_model_problems(spark, small):
-    from plumbline.queries.quality import EXPOSURE_CONDITIONS
-
+def test_window_edges_and_model_problems(spark, small):
     src = grid(spark, small)
-    cases = Q.boundary_rows(src, "reads", EXPOSURE_CONDITIONS)
-    assert {r["case"]: r["count"] for r in cases.groupBy("case").count().collect()} == dict.fromkeys([e[0] for e in Q.EDGES], 3)
+    at = datetime(2024, 1, 5)
+    spans = spark.createDataFrame([("m", at, datetime(2024, 1, 6))], "meter_id string, start timestamp, end timestamp")
+    rows = Q.window_edges(spans, src["reads"], "read_ts", "kwh_delivered")
+    assert rows.drop("edge", "tried").dtypes == src["reads"].dtypes and rows.count() == 9
+    inside = rows.where(f"read_ts >= '{at}' and read_ts < '2024-01-06'").select("edge").distinct().collect()
+    assert sorted(r.edge for r in inside) == ["at start", "before end"]
+    assert {r.tried: r.kwh_delivered for r in rows.select("tried", "kwh_delivered").distinct().collect()} == {"zero": 0.0, "missing": None, "tiny": 1e-9}
     missing = Q.model_problems(P.exposure(src), C.CONSUMPTION, {"customer", "events", "nation"})
     assert "reads undeclared region" in missing and "missing column read_date" in missing
 
