@@ -12,6 +12,7 @@ from plumbline.operators import decision as N
 from plumbline.queries.base import query
 from plumbline.queries.products import reliability_by_day
 from plumbline.queries.semantic import RETRIEVAL, part_questions
+from plumbline.session import settle
 from plumbline.sources.testtables import grid, questions, users
 
 AS_OF = date(2024, 1, 31)
@@ -63,7 +64,7 @@ NEED = "30000 * served / (periods + case when has_first then 0 else 1 end) - min
     extra=REGIONS,
 )
 def _(spark, d):
-    scopes = totals(spark, d, "region")
+    scopes = settle(totals(spark, d, "region"), "totals")
     rows = [N.sensitivity(scopes, t).withColumn("metric", F.lit(t.metric)) for t in (SAIDI, OUT)]
     return reduce(lambda a, b: a.unionByName(b), rows)
 

@@ -8,6 +8,7 @@ from plumbline.operators.intervals import expand_slots
 from plumbline.plans import products as P
 from plumbline.plans.policy import Policy, Principal, apply_policies
 from plumbline.queries.base import CTE, query
+from plumbline.session import settle
 from plumbline.sources.testtables import RESTORE_SHARE, grid
 
 DAY = "day"
@@ -18,8 +19,13 @@ def rounded(df, places=4):
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def stored_grid(spark, d):
+    """The sources with what derives from events written once: reliability reads outages and reads in several places."""
+    return grid(spark, d, keep=settle)
+
+
 def reliability_by_day(spark, d):
-    return P.reliability(grid(spark, d), DAY, RESTORE_SHARE)
+    return P.reliability(stored_grid(spark, d), DAY, RESTORE_SHARE)
 
 
 REL_ROUNDED = (
@@ -79,7 +85,7 @@ MONTHLY = {
 
 @query("prod_reliability_month", REL_ROUNDED.format(p="day", g="month", t="reliability"), extra=MONTHLY)
 def _(spark, d):
-    return rounded(P.reliability(grid(spark, d), "month", RESTORE_SHARE))
+    return rounded(P.reliability(stored_grid(spark, d), "month", RESTORE_SHARE))
 
 
 CAUSES = {
@@ -99,7 +105,7 @@ CAUSES = {
     extra=CAUSES,
 )
 def _(spark, d):
-    return rounded(P.reliability_v2(grid(spark, d), DAY, RESTORE_SHARE))
+    return rounded(P.reliability_v2(stored_grid(spark, d), DAY, RESTORE_SHARE))
 
 
 @query(
@@ -122,7 +128,7 @@ def _(spark, d):
     extra=MONTHLY,
 )
 def _(spark, d):
-    return rounded(P.dashboard(P.reliability(grid(spark, d), "month", RESTORE_SHARE), "2024-01-01"))
+    return rounded(P.dashboard(P.reliability(stored_grid(spark, d), "month", RESTORE_SHARE), "2024-01-01"))
 
 
 @query(

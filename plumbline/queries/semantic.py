@@ -14,7 +14,8 @@ from plumbline.plans import products as P
 from plumbline.plans import semantic as M
 from plumbline.plans.policy import Policy, Principal, apply_policies
 from plumbline.queries.base import query
-from plumbline.queries.products import CAUSES, rounded, reliability_by_day
+from plumbline.queries.products import CAUSES, rounded, reliability_by_day, stored_grid
+from plumbline.session import settle
 from plumbline.sources.testtables import RESTORE_SHARE, grid, table
 
 AS_OF = date(2024, 1, 31)
@@ -117,13 +118,13 @@ def _(spark, d):
 
 @query("sem_alias", f"select substation_id, {SAIDI} as saidi from reliability group by 1 order by 1")
 def _(spark, d):
-    product = P.reliability_v2(grid(spark, d), "day", RESTORE_SHARE)
+    product = P.reliability_v2(stored_grid(spark, d), "day", RESTORE_SHARE)
     return rounded(run(spark, d, M.Plan("reliability_v2", ("saidi",), ("substation_id",)), product))
 
 
 def _parts(spark, d):
     plan = M.Plan("reliability", ("saidi",), ("feeder_id",), window="last_week")
-    product = reliability_by_day(spark, d)
+    product = settle(reliability_by_day(spark, d), "product")  # three results of one product
     return {ref: run(spark, d, p, product) for ref, p in M.drilldowns(plan).items()}
 
 

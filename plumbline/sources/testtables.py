@@ -5,6 +5,8 @@ Each function reads whole tables; the DuckDB text of the same frames is in `plum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession, sf_dir: str, text_keys: bool = False) -> dict[str, DataFrame]:
-    """feeders, meters, outages and reads; with `text_keys` all identifiers are strings."""
+def grid(
+    spark: SparkSession, sf_dir: str, text_keys: bool = False, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+) -> dict[str, DataFrame]:
+    """feeders, meters, outages and reads; with `text_keys` all identifiers are strings.
+
+    `keep` (frame, name) may store what is derived from events, for products that use a source several times.
+    """
     t = lambda n: table(spark, sf_dir, n)
     events = t("events")
     feeders = (
@@ -53,6 +60,7 @@ def grid(spark: SparkSession, sf_dir: str, text_keys: bool = False) -> dict[str,
             F.col("c_name").alias("service_address"),
         )
     )
+    meters = keep(meters, "meters")
     on_feeder = meters.groupBy("feeder_id").agg(F.count(F.lit(1)).alias("customers_affected"))
     outages = (
         events.where(F.col("event_type") == "error")
@@ -76,7 +84,7 @@ def grid(spark: SparkSession, sf_dir: str, text_keys: bool = False) -> dict[str,
             F.sum(F.when(signup, F.col("value")).otherwise(0.0)).alias("kwh_received"),
         )
     )
-    out = {"feeders": feeders, "meters": meters, "outages": outages, "reads": reads}
+    out = {"feeders": feeders, "meters": meters, "outages": keep(outages, "outages"), "reads": keep(reads, "reads")}
     if text_keys:
         out = {
             n: df.withColumns({c: F.col(c).cast("string") for c in df.columns if c in ("feeder_id", "meter_id", "outage_id")})

@@ -100,3 +100,17 @@ def test_window_filter_reaches_the_scan(spark, small):
     plan = clone_window(df, "o_orderdate", hours(0), hours(24))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate)" in plan and "o_totalprice" not in plan
     assert F is not None
+
+
+def test_products_read_events_once_per_source(spark, small):
+    """What derives from events is stored once; the product's own plan reads those steps alone."""
+    from plumbline.plans import products as P
+    from plumbline.queries.semantic import _parts
+    from plumbline.session import settle
+    from plumbline.sources.testtables import RESTORE_SHARE, grid
+
+    kept = []
+    src = grid(spark, small, keep=lambda df, name: kept.append(name) or settle(df, name))
+    assert sorted(kept) == ["meters", "outages", "reads"]
+    for df in (P.reliability(src, "day", RESTORE_SHARE), *_parts(spark, small).values()):
+        assert "events.parquet" not in df._jdf.queryExecution().executedPlan().toString()
