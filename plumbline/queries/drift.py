@@ -262,6 +262,8 @@ TRACERS = {
     "t_meters": f"select * from (values {_values(X.TRACER_ROWS['meters'])}) v(meter_id, feeder_id, meter_type, service_address)",
     "t_reads": "select meter_id, read_ts::timestamp as read_ts, kwh_delivered::double as kwh_delivered, kwh_received::double as"
     f" kwh_received from (values {_values(X.TRACER_ROWS['reads'])}) v(meter_id, read_ts, kwh_delivered, kwh_received)",
+    "t_outages": f"select * from (values {_values(X.TRACER_ROWS['outages'])})"
+    " v(outage_id, feeder_id, start_ts, end_ts, cause_code, customers_affected)",
     "t_daily": "select r.read_ts::date as read_date, r.meter_id, m.feeder_id, f.region, sum(r.kwh_delivered) as kwh_delivered,"
     " sum(r.kwh_received) as kwh_received, count(*) as read_count from t_reads r join t_meters m on m.meter_id = r.meter_id"
     " join t_feeders f on f.feeder_id = m.feeder_id group by 1, 2, 3, 4",
@@ -285,8 +287,19 @@ def _(spark, d):
 
 @query(
     "sen_key",
-    "select * from (values ('consumption', 'meter_id'), ('exposure', 'meter_id'), ('reliability', 'feeder_id')) v(product, key_column)"
-    " where (select count(*) from events) > 0",
+    # text columns in the order of each product's key, then of its columns; the first that holds a tracer
+    " union all ".join(
+        f"select '{product}' as product, case {' '.join(f"when bool_or({c}::varchar like 'SNTL-%') then '{c}'" for c in texts)} end as key_column from ({rows})"
+        for product, texts, rows in (
+            ("consumption", ("meter_id", "feeder_id", "region"), "select meter_id::varchar as meter_id, feeder_id::varchar as feeder_id, region"
+             " from consumption union all select meter_id, feeder_id, region from t_daily"),
+            ("exposure", ("meter_id", "outage_id"), "select m.meter_id::varchar as meter_id, o.outage_id::varchar as outage_id from meters m join outages o"
+             " using (feeder_id) union all select m.meter_id, o.outage_id from t_meters m join t_outages o using (feeder_id)"),
+            ("reliability", ("feeder_id", "substation_id"), "select feeder_id::varchar as feeder_id, substation_id from reliability union all"
+             " select feeder_id, substation_id from t_feeders"),
+        )
+    ),
+    extra=TRACERS,
 )
 def _(spark, d):
     src = tracer_sources(spark, d)
