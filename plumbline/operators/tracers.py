@@ -12,10 +12,11 @@ from plumbline.plans.products import Sources
 
 # What the tracers must show of the products over the test grid: a read counts at a window's start and inside it, not at its
 # end; off, on and barely on are told apart; both directions of flow and nine decimals arrive; all this in a window of many
-# reads, in one shorter than the time between reads, and in one that crosses the end of a month.
+# reads, in one shorter than the time between reads, and in one that crosses the end of a month. The first two lie in the last
+# week, which the gate rebuilds.
 WINDOWS = {
-    "long": (datetime(2024, 1, 18, 2), timedelta(hours=7), "WEATHER"),
-    "brief": (datetime(2024, 1, 23, 13, 10), timedelta(minutes=30), "EQUIPMENT"),
+    "long": (datetime(2024, 1, 26, 2), timedelta(hours=7), "WEATHER"),
+    "brief": (datetime(2024, 1, 28, 13, 10), timedelta(minutes=30), "EQUIPMENT"),
     "month-end": (datetime(2024, 1, 31, 22), timedelta(hours=4), "PLANNED"),
 }
 #: meter -> (share of the window passed at its read, delivered, received)
