@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,22 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def modest(docs: DataFrame) -> DataFrame:
+    """`docs`, with Arrow batches of 8 MB at most unless the session sets another size than Spark's: texts may be very long."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, "8m")
+    return docs
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, giving freed Arrow memory back to the system after each: idle workers share an executor with its heap."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def utf8(col: str = "text") -> Column:
     """A text as bytes; a missing text is empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

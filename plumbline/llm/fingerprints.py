@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import width
+from plumbline.llm.common import modest, width
 from plumbline.session import settle
 
 PRIME = (1 << 31) - 1
@@ -186,7 +186,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for doc, text, following in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 yield _batch([_Seen(doc, text.as_py()).row(_Seen(None, following.as_py()))])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ordered = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     step = settle(ordered.mapInArrow(run, f"{ROWS}, part int, kind int, text string"), "fingerprints")
     # a row per partition from here on

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh, small_side, utf8
+from plumbline.llm.common import fresh, lean, modest, small_side, utf8
 from plumbline.llm.components import components
 from plumbline.llm.words import Words, digest, mix
 from plumbline.session import discard, settle
@@ -66,7 +66,7 @@ def sign_documents(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = Minima()
-        for batch in batches:
+        for batch in lean(batches):
             rows, bands = [], []
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(raw.as_py(), shingle)
@@ -77,14 +77,14 @@ def sign_documents(docs: DataFrame, shingle: int) -> DataFrame:
             cols = [pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [[]] * 4)]
             yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
 
-    return settle(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, _SIGNED), "signatures")
+    return settle(modest(docs).select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, _SIGNED), "signatures")
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(id, shingles) of the documents that occur in `pairs`; their texts alone leave the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             sets = [shingle_set(raw.as_py(), shingle).tobytes() for raw in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
@@ -100,7 +100,7 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     Where several rows have one id, each of their sets is compared and the likest counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             out, last, y = [], None, None
             for a, b, s, t in zip(*batch.columns):
                 x = np.frombuffer(s.as_py(), np.uint64)
@@ -142,7 +142,7 @@ def _prefix_pairs(docs: DataFrame, pool: DataFrame, shingle: int) -> DataFrame:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
+        for batch in lean(batches):
             for raw in batch.column(0):
                 np.add.at(total, _slot(shingle_set(raw.as_py(), shingle)), 1)
         used = np.flatnonzero(total)
@@ -155,10 +155,11 @@ def _prefix_pairs(docs: DataFrame, pool: DataFrame, shingle: int) -> DataFrame:
     often = spark.sparkContext.broadcast(often)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for rep, raw, root, out in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                s = shingle_set(raw, shingle)
+            for rep, raw, root, out in zip(*batch.columns):
+                rep, root, out = rep.as_py(), root.as_py(), out.as_py()
+                s = shingle_set(raw.as_py(), shingle)
                 s = s[np.lexsort((s, often.value[_slot(s)]))].view(np.int64)
                 n = len(s)
                 low, high = -(-SIMILAR * n // 100), 100 * n // SIMILAR

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import width
+from plumbline.llm.common import lean, modest, width
 from plumbline.llm.tokens import encoder
 from plumbline.session import settle
 
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, "dropped")
-        for b in batches:
+        for b in lean(batches):
             out = []
             for doc, ids in zip(b.column(0).to_pylist(), enc.each(b.column(1))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def _fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:

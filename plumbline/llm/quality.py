@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh, held_out, small_side, utf8
+from plumbline.llm.common import fresh, held_out, lean, modest, small_side, utf8
 from plumbline.llm.words import Words
 
 SAMPLE = 4000
@@ -135,11 +135,11 @@ def score_texts(docs: DataFrame, model, out: str = "score") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             s = [model.score((t.as_py() or "").encode()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return modest(docs).mapInArrow(run, schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, target: str = "quality") -> DataFrame:

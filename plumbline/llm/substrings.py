@@ -4,6 +4,8 @@ Level 1 looks at spans of half the window (25 words). Not all of them: of the 26
 with the least hash. A window that two documents share selects the same span in both, so each is found from a fourteenth of
 the spans. Spans seen in one document alone are dropped. Level 2 takes the survivors to twice the length and more: the words
 of all windows that selected a span, hashed together. Where those words occur in an earlier document, all their windows do.
+Long passages are met first, as blocks of about BLOCK spans that begin where the span's hash says so: the spans of a block whose
+words occur in an earlier document need no looking at.
 Where one span has several surroundings, the first document of each surrounding goes to the last level: its windows of 50
 words one by one. No pair of documents is ever formed; equal passages meet under one hash and are reduced to the smallest id.
 
@@ -20,12 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh, small_side, utf8
+from plumbline.llm.common import fresh, lean, modest, small_side, utf8
 from plumbline.llm.words import Words
 from plumbline.session import discard, settle
 
 WINDOW = 50
-_SCAN = "doc_id long, tag long, n_words long, sha256 string, span array<long>, c1 array<long>, c2 array<long>, a array<int>, b array<int>"
+#: Spans in a block, on average.
+BLOCK = 6
+_SPANS = {"span": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "a": pa.int32(), "b": pa.int32(), "block": pa.int32()}
+_BLOCKS = {"k1": pa.int64(), "k2": pa.int64(), "x": pa.int32(), "y": pa.int32()}
+_SCAN = "doc_id long, tag long, n_words long, sha256 string, " + ", ".join(
+    f"{n} array<{'long' if k == pa.int64() else 'int'}>" for n, k in (_SPANS | _BLOCKS).items()
+)
 
 
 def _tag(sha: bytes) -> int:
@@ -53,7 +61,7 @@ def scan_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in lean(batches):
             ids = batch.column(0).to_pylist()
             plain, spans = [], []
             for doc, raw in zip(ids, batch.column(1)):
@@ -61,18 +69,22 @@ def scan_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 sha = hashlib.sha256(w.line)
                 plain.append((_tag(sha.digest()), w.n, sha.hexdigest()))
                 if w.n < window or doc is None:
-                    spans.append((none,) * 5)
+                    spans.append((none,) * len(_SPANS | _BLOCKS))
                     continue
                 h, a, b = _selected(w, window)
                 c = np.array([w.digest(x, y + window - 1) for x, y in zip(a.tolist(), b.tolist())], np.int64)
-                spans.append((h.view(np.int64), c[:, 0], c[:, 1], a, b))
+                begins = h % np.uint64(BLOCK) == 0
+                begins[0] = True
+                at = np.flatnonzero(begins)
+                x, y = a[at], b[np.append(at[1:], len(a)) - 1] + window
+                k = np.array([w.digest(i, j - 1) for i, j in zip(x.tolist(), y.tolist())], np.int64)
+                spans.append((h.view(np.int64), c[:, 0], c[:, 1], a, b, np.cumsum(begins) - 1, k[:, 0], k[:, 1], x, y))
             tags, n, sha = zip(*plain) if plain else ((), (), ())
             cols = [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())]
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2
-            cols += [_lists([s[k] for s in spans], kind) for k, kind in enumerate(kinds)]
+            cols += [_lists([s[k] for s in spans], kind) for k, kind in enumerate((_SPANS | _BLOCKS).values())]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _SCAN.split(", ")])
 
-    return settle(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, _SCAN), "spans")
+    return settle(modest(docs).select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, _SCAN), "spans")
 
 
 def _of_text(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
@@ -94,9 +106,10 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int = WINDOW) -> D
     """Rows (doc_id, tag, x, y) with the lists of word ranges [x, y) that also start in a document with a smaller id; stored."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             out = []
-            for doc, tag, raw, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, tag, raw, x, y in zip(*batch.columns):
+                doc, tag, raw, x, y = (v.as_py() for v in (doc, tag, raw, x, y))
                 w = Words(raw)
                 if _tag(hashlib.sha256(w.line).digest()) == tag:
                     starts = np.unique(np.concatenate([np.arange(i, j + 1) for i, j in zip(x, y)])).tolist()
@@ -105,7 +118,11 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int = WINDOW) -> D
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "tag", "x", "c1", "c2"])
 
-    spans = scan.select("doc_id", "tag", F.inline(F.arrays_zip("span", "c1", "c2", "a", "b")))
+    blocks = scan.select("doc_id", "tag", F.posexplode(F.arrays_zip(*_BLOCKS)).alias("block", "at")).select("doc_id", "tag", "block", "at.*")
+    again = blocks.groupBy("k1", "k2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("n")).where("earliest < n").drop("n")
+    done = settle(blocks.join(settle(again, "again"), ["k1", "k2"]).where("doc_id > earliest").select("doc_id", "tag", "block", "x", "y"), "blocks")
+    known = small_side(done.select("doc_id", "tag", "block"), done.count())
+    spans = scan.select("doc_id", "tag", F.inline(F.arrays_zip(*_SPANS))).join(known, ["doc_id", "tag", "block"], "left_anti").drop("block")
     # stored apart, so that Spark can split the join where a span is in very many documents
     shared = settle(spans.groupBy("span").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("n")).where("m < n").select("span"), "shared")
     level1 = settle(spans.join(shared, "span", "left_semi"), "level1")
@@ -118,8 +135,8 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int = WINDOW) -> D
     level3 = settle(_of_text(docs, single).mapInArrow(windows, "doc_id long, tag long, x int, c1 long, c2 long"), "windows")
     least = level3.groupBy("c1", "c2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("n")).where("earliest < n")
     ones = level3.join(least, ["c1", "c2"]).where("doc_id > earliest").select("doc_id", "tag", "x", (F.col("x") + window).alias("y"))
-    found = settle(_ranges(whole.unionByName(ones)), "ranges")
-    discard(shared, level1, around, single, level3)
+    found = settle(_ranges(whole.unionByName(ones).unionByName(done.select("doc_id", "tag", "x", "y"))), "ranges")
+    discard(done, shared, level1, around, single, level3)
     return found
 
 
@@ -143,9 +160,10 @@ def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = repeated_ranges(docs, scan, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             out = []
-            for doc, tag, raw, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, tag, raw, x, y in zip(*batch.columns):
+                doc, tag, raw, x, y = (v.as_py() for v in (doc, tag, raw, x, y))
                 w = Words(raw)
                 if _tag(hashlib.sha256(w.line).digest()) == tag:
                     gone, kept = _keep(w, x, y)
@@ -174,12 +192,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     here = docs["doc_id"].cast("long") == F.col(key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             texts = []
-            for text, all_cuts in zip(batch.column("text").to_pylist(), batch.column(cuts).to_pylist()):
+            for text, all_cuts in zip(batch.column("text"), batch.column(cuts)):
+                text = text.as_py()
                 w = Words((text or "").encode())
                 tag = _tag(hashlib.sha256(w.line).digest())
-                for c in all_cuts:
+                for c in all_cuts.as_py():
                     if c["tag"] == tag:
                         text = _keep(w, c["x"], c["y"])[1].decode()
                 texts.append(text)

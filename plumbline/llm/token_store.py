@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import width
+from plumbline.llm.common import lean, modest, width
 from plumbline.llm.tokens import encoder
 from plumbline.session import settle
 
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["part", "block", "start_in_part", "n_docs", "n_ids", "payload"])
 
-        for b in batches:
+        for b in lean(batches):
             for doc, x in zip(b.column(0).to_pylist(), enc.each(b.column(1))):
                 ids.append(doc)
                 held.append(np.append(x, np.uint32(end_id)).astype(f"<u{wide}"))
@@ -147,7 +147,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
         if ids:
             yield closed()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ordered = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = ordered.repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return settle(ordered.mapInArrow(run, BLOCKS), "token_blocks")
 
