@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
+import duckdb
 import edges
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +179,23 @@ def test_the_sample_has_the_mix(spark):
     total, taken, expected = rows.agg(F.sum("tokens"), F.sum(F.when(F.col("sampled"), F.col("tokens"))), F.sum(F.col("tokens") * F.col("probability"))).first()
     assert expected == pytest.approx(0.7 * total, rel=1e-6)
     assert taken == pytest.approx(0.7 * total, rel=0.05)
+
+
+def test_tokens_are_words_whatever_the_white_space(spark):
+    rng = np.random.default_rng(7)
+    texts = ["", " ", " " * 1000, "\t\r\n", "a", " a", "a ", "a\tb\tc\r\n" * 200, "def f():\n        return  1\n", "a\x0bb\x0cc\rd", "<>\r\t<>", "\u00a0 \u00e9t\u00e9", "\ud55c\uad6d\uc5b4 \ubb38\uc7a5"]
+    texts += ["".join(rng.choice(list("ab\u00e9<> \t\n\r\x0b\x0c"), rng.integers(1, 30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    got = {r.text: r.n for r in df.select("text", mixing.token_weight(F.col("text")).alias("n")).collect()}
+    assert got.pop(None) == 1
+    assert got == {t: 1 + len(re.findall("[^\x20\x09-\x0d]+", t)) for t in texts}
+    strict = "select text, 1 + len(list_filter(string_split_regex(text, '[ \\x09-\\x0D]+'), lambda x: x <> '')) from t"
+    t = pd.DataFrame({"text": texts})  # noqa: F841
+    assert got == dict(duckdb.sql(strict).fetchall())
+
+
+def test_unspaced_scripts_weigh_by_length(spark):
+    han, kana, thai, khmer = "\u6587\u5b57", "\u3072\u30ab", "\u0e01\u0e32\u0e23\u0e19", "\u1781\u17d2\u1798\u17c2"
+    want = {han: 2, han * 500: 501, kana * 500: 501, thai * 500: 501, khmer * 500: 501, "\U00020000" * 1000: 501, f"ab{han}cd  ef": 5, f"{han}\u3002\n{han}": 4, han[:1]: 2}
+    df = spark.createDataFrame([(t,) for t in want], "text string")
+    assert {r.text: r.n for r in df.select("text", mixing.token_weight(F.col("text")).alias("n")).collect()} == want
