@@ -202,13 +202,36 @@ class Graph:
                 yield who[a], ids[a, b]
             todo, beam = np.concatenate(again), 2 * beam
 
-    def audited_beam(self, least: float, beam: int, recall: float, most: int) -> int:
-        """Widen the beam until, for up to `most` of the graph's own vectors, the search finds `recall` of the exact links."""
+    def _audits(self, q: np.ndarray, own: np.ndarray, least: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(which queries, how many exact links each has besides itself) for those with 1 to 3 links, 4 to 15, 16 to 63 and so on, up
+        to `most` each (an eighth from 64 on); `own` has the queries' places in the graph, or -1."""
+        n = np.zeros(0, np.int64)
+        while len(n) < len(q) and ((n > 0) & (n < 4)).sum() < most:
+            lot = slice(len(n), len(n) + BATCH)
+            n = np.concatenate([n, (q[lot] @ self.vectors.T >= least).sum(1) - (own[lot] >= 0)])
+        band = np.log2(np.maximum(n, 1)).astype(np.int64) // 2
+        for b in np.unique(band[n > 0]).tolist():
+            who = np.flatnonzero((n > 0) & (band == b))[: most if b < 3 else max(1, most // 8)]
+            yield who, n[who]
+
+    def _mean_recall(self, q: np.ndarray, own: np.ndarray, links: np.ndarray, least: float, beam: int) -> float:
+        found = np.zeros(len(q), np.int64)
+        for a, b in self.within(q, least, beam):
+            np.add.at(found, a, b != own[a])
+        return float(np.minimum(found / links, 1).mean())
+
+    def audited_beam(self, least: float, beam: int, recall: float, most: int, guests: np.ndarray | None = None) -> int:
+        """Widen the beam until the search finds `recall` of the exact links of a vector on average, matches with itself left out,
+        among sampled vectors of few links as among those of many, and among the graph's own as among `guests` from elsewhere."""
         n = len(self.vectors)
-        q = self.vectors[np.linspace(0, n - 1, min(n, most)).astype(np.int64)]
-        exact = sum(int((q[k : k + BATCH] @ self.vectors.T >= least).sum()) for k in range(0, len(q), BATCH))
-        while beam < n and sum(len(a) for a, _ in self.within(q, least, beam)) < recall * exact:
-            beam *= 2
+        own = np.linspace(0, n - 1, min(n, 16 * most)).astype(np.int64)
+        asked = [(self.vectors[own], own)]
+        if guests is not None:
+            asked.append((guests, np.full(len(guests), -1)))
+        for q, at in asked:
+            for who, links in self._audits(q, at, least, most):
+                while beam < n and self._mean_recall(q[who], at[who], links, least, beam) < recall:
+                    beam *= 2
         return beam
 
     def tobytes(self, ids: np.ndarray) -> bytes:

@@ -1,7 +1,8 @@
 """Near-duplicate embeddings: a navigable small-world graph per shard, every shard queried, cosines verified, links joined.
 
 Equal vectors are one class from the start. Classes are dealt to shards by a hash; a shard is at most SHARD_MOST vectors, so
-one task builds its graph whatever the size of the table, and widens its beam until an audit against brute force passes.
+one task builds its graph whatever the size of the table, and widens its beam until an audit against brute force passes, for
+its own vectors and for a sample of the others.
 Blocks of query vectors meet every shard; a search whose beam is full of links goes on with twice the beam. What comes back is
 a count of links per vector and a spanning forest of the links of a block and a shard, never the pairs themselves. Components
 are joined over the forests by large-star and small-star.
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ COSINE = 0.9
 #: Shards at least and vectors in one at most; vectors in a block; blocks that one task takes through a shard.
 SHARDS, SHARD_MOST, BLOCK, TURN = 6, 25_000, 2048, 16
 BEAM, RECALL, AUDITED = 16, 0.99, 512
+#: About how many vectors of a dimension every shard is audited with besides its own.
+GUESTS = 2048
 _BLOCKS = "dim int, block int, size int, ids binary, classes binary, counts binary, vectors binary"
 
 
@@ -78,6 +82,9 @@ def _blocks(classes: DataFrame) -> DataFrame:
 
 def _graphs(classes: DataFrame, shards: int, least: float) -> DataFrame:
     def build(t: pa.Table) -> pa.Table:
+        guests, t = t.filter(t["guest"]), t.filter(pc.invert(t["guest"]))
+        if not len(t):
+            return pa.table({"dim": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "beam": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
         ids, cls = t["id"].to_numpy(), t["cls"].to_numpy()
         key = mix(cls.view(np.uint64))
         order = np.argsort(key, kind="stable")
@@ -85,11 +92,17 @@ def _graphs(classes: DataFrame, shards: int, least: float) -> DataFrame:
         v = _unit(t["v"].combine_chunks().flatten().to_numpy(), dim)[order]
         draws = ((mix(key[order] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)).astype(float) + 1) / (1 << 53)
         g = Graph.build(v, draws)
-        beam = g.audited_beam(least, BEAM, RECALL, AUDITED)
+        others = _unit(guests["v"].combine_chunks().flatten().to_numpy(), dim) if len(guests) else None
+        beam = g.audited_beam(least, BEAM, RECALL, AUDITED, others)
         payload = g.tobytes(np.stack([ids[order], cls[order], t["n"].to_numpy()[order]]))
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": t["shard"][:1], "beam": pa.array([beam], pa.int32()), "payload": pa.array([payload], pa.binary())})
 
-    dealt = classes.withColumn("shard", F.pmod("cls", F.lit(shards)).cast("int"))
+    own = F.pmod("cls", F.lit(shards)).cast("int")
+    one_in = F.greatest(F.lit(1), F.floor(F.col("of_dim") / F.lit(GUESTS)))
+    guests = classes.join(classes.groupBy("dim").agg(F.count(F.lit(1)).alias("of_dim")), "dim")
+    guests = guests.where(F.pmod(F.xxhash64(F.lit("guest"), "cls"), one_in) == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    guests = guests.where(F.col("shard") != own).withColumn("guest", F.lit(True)).drop("of_dim")
+    dealt = classes.withColumn("shard", own).withColumn("guest", F.lit(False)).unionByName(guests)
     return dealt.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, beam int, payload binary")
 
 

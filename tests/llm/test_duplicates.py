@@ -227,3 +227,43 @@ def test_graph_reaches_all_and_widens():
     again, ids = Graph.frombytes(graph.tobytes(np.arange(3)))
     assert ids.tolist() == [0, 1, 2]
     assert (again.search(v[:5], 8)[0] == graph.search(v[:5], 8)[0]).all()
+
+
+def groups(n_pairs=300, n_cluster=400, dim=32, seed=9):
+    """One cluster of a third of the vectors, pairs, and as many loners."""
+    g = np.random.default_rng(seed)
+    near = lambda c: c + 0.03 * g.normal(size=dim)
+    c, heads = g.normal(size=dim), g.normal(size=(n_pairs, dim))
+    v = np.vstack([[near(c) for _ in range(n_cluster)], heads, [near(h) for h in heads], g.normal(size=(n_pairs, dim))])
+    v = v[g.permutation(len(v))]
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("lost", ["own pairs", "guests"])
+def test_the_audit_sees_small_groups_and_guests(lost):
+    v = groups()
+    guests, v = v[::4], np.delete(v, np.s_[::4], 0)
+    degree = (v @ v.T >= 0.9).sum(1) - 1
+
+    class Forgetful(Graph):
+        def within(self, q, least, beam):
+            at = np.argmax(q @ v.T, 1)
+            own = (q == v[at]).all(1)
+            for a, b in super().within(q, least, beam):
+                gone = own[a] & (degree[at[a]] < 4) & (b != at[a]) if lost == "own pairs" else ~own[a]
+                yield a[~gone | (beam >= 64)], b[~gone | (beam >= 64)]
+
+    graph = Forgetful.build(v, np.random.default_rng(1).random(len(v)) + 1e-9)
+    assert graph.audited_beam(0.9, 16, 0.99, 512, guests) == 64
+    if lost == "own pairs":
+        assert graph.audited_beam(0.9, 16, 0.99, 512) == 64
+
+
+def test_small_groups_keep_their_links(spark):
+    v = groups(600, 900)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = np.array([r.n_links for r in vectors.vector_components(df).orderBy("vec_id").collect()])
+    want = (v @ v.T >= 0.9).sum(1) - 1
+    assert (got <= want).all() and (got[want == 0] == 0).all()
+    for some in ((want > 0) & (want < 4), want >= 4):
+        assert (got[some] / want[some]).mean() >= 0.99
