@@ -4,7 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import fingerprints, minhash, mixing, packing, quality, substrings, token_store, toxicity, url_rules, vectors
+from plumbline.llm import (
+    bin_completion,
+    filter_audit,
+    fingerprints,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    resampling,
+    substrings,
+    token_store,
+    toxicity,
+    url_rules,
+    vectors,
+)
 from plumbline.llm.common import Query, table
 from plumbline.llm.sql import SQL
 
@@ -59,6 +73,21 @@ def op10_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    """Effects of five filters in all their orders, by source."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_bin_completion(spark, sf_dir):
+    """Documents in as few windows of 2048 ids as bin completion finds."""
+    return bin_completion.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_resampling(spark, sf_dir):
+    """Importance weights towards the benchmark texts, and 5 in 100 documents drawn by them."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def all_queries() -> dict[str, Query]:
     found = {n: f for n, f in globals().items() if n.startswith("op")}
     return {n: Query(f, SQL.get(n)) for n, f in sorted(found.items())}

@@ -113,6 +113,27 @@ kept as (select w.doc_id, len(w) as n, coalesce(len(g), 0) as r, case when g is
     from w left join cut on cut.doc_id = w.doc_id)
 select doc_id, n::bigint as n_words, r::bigint as n_removed, sha256(coalesce(array_to_string(k, ' '), '')) as kept_sha256 from kept""",
     "op9_mixing": _mixing(),
+    "op11_filter_audit": rf"""
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, min(doc_id) over (partition by coalesce(text, '')) as first_id from documents),
+w as (select *, {_words(False).replace("coalesce(text, '')", "t")} as w from t),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1),
+f as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    concat(case when len(w) < 200 then 'A' else '' end, case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end,
+    case when 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) then 'C' else '' end,
+    case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end, case when doc_id > first_id then 'E' else '' end) as fails from w left join l using (doc_id)),
+g as (select part, fails, good, toxic, count(*) as n from f group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, unnest(range(1, 6))::int as step from o),
+r as (select part, filter_order, step, filter_order[step] as own,
+    sum(case when translate(fails, filter_order[1:step], '') = fails then n else 0 end)::bigint as kept,
+    sum(case when contains(fails, filter_order[step]) and translate(fails, filter_order[1:step - 1], '') = fails then n else 0 end)::bigint as removed,
+    sum(case when contains(fails, filter_order[step]) and translate(fails, filter_order[1:step - 1], '') <> fails then n else 0 end)::bigint as redundant,
+    sum(case when fails = filter_order[step] then n else 0 end)::bigint as unique_fails,
+    sum(case when good and contains(fails, filter_order[step]) and translate(fails, filter_order[1:step - 1], '') = fails then n else 0 end)::bigint as good_lost,
+    sum(case when toxic and contains(fails, filter_order[step]) and translate(fails, filter_order[1:step - 1], '') = fails then n else 0 end)::bigint as toxic_lost
+    from g, s group by 1, 2, 3)
+select * exclude (own), sum(removed) over (partition by part, own)::bigint as shapley from r""",
     "op6_url_rules": f"""
 with recursive parts as (select page_id, url, coalesce({_host('url')}, '') as host, coalesce({_path('url')}, '') as path, {_key('url')} as key from pages),
 {_edges()}
