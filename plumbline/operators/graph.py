@@ -33,3 +33,55 @@ def reach(edges: DataFrame, seeds: DataFrame, inclusive: bool = False, reverse:
             break
         found = found.unionByName(frontier)
     return found if inclusive else found.where(F.col("depth") > 0)
+
+
+#: Jumps that a node may have for jumps of twice the length to be derived from them.
+FANOUT = 4
+
+
+def _doubled(jumps: DataFrame, fanout: int) -> DataFrame:
+    """Jumps of twice the length from nodes that would have at most `fanout` of them; counted before any two are joined."""
+    n = settle(jumps.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "jump-counts")
+    light = n.where(F.col("n") <= fanout).select("node")
+    after = n.select(F.col("node").alias("next"), "n")
+    some = (
+        jumps.join(light, "node", "left_semi")
+        .join(after, "next")
+        .groupBy("node")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") <= fanout)
+        .select("node")
+    )
+    first = jumps.join(some, "node", "left_semi").withColumnRenamed("next", "middle")
+    second = jumps.select(F.col("node").alias("middle"), "next")
+    return first.join(second, "middle").select("node", "next").distinct()
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, inclusive: bool = False, reverse: bool = False, fanout: int = FANOUT) -> tuple[DataFrame, int]:
+    """Nodes reachable from `seeds(node)` along `edges(src, dst)`, and the number of rounds it took.
+
+    Every round takes the single edges of what the last round found, and from all found nodes the jumps at hand. Jumps start as
+    edges and are joined with themselves once a round, so that a chain or a cycle of n nodes is walked in about log2(n) rounds.
+    A node keeps at most `fanout` jumps of a length, which keeps each table of jumps linear in the nodes; where a graph branches
+    more, its single edges carry on, level by level. Repeated edges count once; edges without an end are ignored.
+    Seeds are part of the result only if `inclusive`. Rounds are written to the shared folder.
+    """
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    e = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node is not null and next is not null and node <> next")
+    e = settle(e.distinct(), "edges")
+    seeds = settle(seeds.select("node").distinct(), "seeds")
+    found = fresh = seeds
+    jumps, rounds = e, 0
+    while True:
+        rounds += 1
+        step = fresh.join(e, "node").select(F.col("next").alias("node"))
+        if jumps is not None and rounds > 1:
+            step = step.unionByName(found.join(jumps, "node").select(F.col("next").alias("node")))
+        fresh = settle(step.distinct().join(found, "node", "left_anti"), "reach")
+        if fresh.isEmpty():
+            break
+        found = found.unionByName(fresh)
+        if jumps is not None:
+            jumps = settle(_doubled(jumps, fanout), "jumps")
+            jumps = None if jumps.isEmpty() else jumps
+    return (found if inclusive else found.join(seeds, "node", "left_anti")), rounds

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.graph import reach
+from plumbline.operators.graph import reachable
 from plumbline.plans.products import Product, Sources
 
 ANY = "*"  # stands for the whole table in dependency edges
@@ -151,12 +151,12 @@ def _nodes(spark: SparkSession, nodes: list[str]) -> DataFrame:
 def upstream_columns(edges: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """All columns the given ones depend on, themselves included."""
     seeds = _nodes(edges.sparkSession, [f"{table}.{c}" for c in [*columns, ANY]])
-    return reach(_pairs(edges), seeds, inclusive=True, reverse=True).select("node").where(~F.col("node").endswith(f".{ANY}"))
+    return reachable(_pairs(edges), seeds, inclusive=True, reverse=True)[0].where(~F.col("node").endswith(f".{ANY}"))
 
 
 def downstream_columns(edges: DataFrame, table: str, columns: list[str]) -> DataFrame:
     seeds = _nodes(edges.sparkSession, [f"{table}.{c}" for c in columns])
-    return reach(_pairs(edges), seeds).select("node").where(~F.col("node").endswith(f".{ANY}"))
+    return reachable(_pairs(edges), seeds)[0].where(~F.col("node").endswith(f".{ANY}"))
 
 
 def table_graph(edges: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def table_graph(edges: DataFrame) -> DataFrame:
 
 def related_tables(edges: DataFrame, table: str, upstream: bool = True) -> DataFrame:
     e = table_graph(edges).select(F.col("src_table").alias("src"), F.col("dst_table").alias("dst"))
-    return reach(e, _nodes(edges.sparkSession, [table]), reverse=upstream).select(F.col("node").alias("table"))
+    return reachable(e, _nodes(edges.sparkSession, [table]), reverse=upstream)[0].select(F.col("node").alias("table"))
 
 
 def blast_radius(edges: DataFrame, criticality: DataFrame, table: str, columns: list[str], default: int = 2) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import phrase_hits, rank_documents
+from plumbline.functions.text import phrase_hits
+from plumbline.functions.topk import best_documents
 from plumbline.session import settle
 
 CONFIDENCE_FLOOR = 0.6
@@ -31,7 +32,9 @@ def retrieve(questions: DataFrame, elements: DataFrame, k: int = 15, concepts: D
     dims = touched.join(elements.where("kind = 'dimension'").select("product", "element_id"), "product")
 
     docs = elements.select("element_id", F.lower(F.concat_ws(" ", "phrases", "description")).alias("text"))
-    sims = rank_documents(q, docs, "question_id", "element_id")
+    asked = hits.groupBy("question_id").agg(F.greatest(F.lit(k), F.count(F.lit(1))).cast("int").alias("k"))
+    named = hits.select("question_id", "element_id").unionByName(dims.select("question_id", "element_id"))
+    sims = best_documents(q, docs, "question_id", "element_id", asked, k, named)
     marks = (
         hits.select("question_id", "element_id", F.lit(1).alias("hit"), F.lit(0).alias("dim"), F.lit(0.0).alias("similarity"))
         .unionByName(dims.select("question_id", "element_id", F.lit(0).alias("hit"), F.lit(1).alias("dim"), F.lit(0.0).alias("similarity")))

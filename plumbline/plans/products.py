@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.times import minutes_between, period
 from plumbline.operators.intervals import interval_join
+from plumbline.operators.joins import split_join
+from plumbline.operators.sweep import next_point
 
 Sources = Mapping[str, DataFrame]
 Product = Callable[[Sources], DataFrame]
@@ -87,24 +89,15 @@ def verified_restoration(src: Sources, share: float = 0.5) -> DataFrame:
         .select("feeder_id", F.when(F.col("meters_on") >= share * F.col("customers_served"), F.col("read_ts")).alias("on_ts"))
         .where(F.col("on_ts").isNotNull())
     )
-    windows = src["outages"].select("outage_id", "feeder_id", "start_ts", "end_ts")
-    first_on = (
-        interval_join(windows, recovered, ["feeder_id"], "start_ts", "end_ts", "on_ts")
-        .groupBy("outage_id")
-        .agg(F.min("on_ts").alias("first_on_ts"))
-    )
-    return (
-        src["outages"]
-        .join(served.select("feeder_id"), "feeder_id", "left_semi")
-        .join(first_on, "outage_id", "left")
-        .select(
-            "outage_id",
-            "feeder_id",
-            "start_ts",
-            "customers_affected",
-            "cause_code",
-            F.coalesce("first_on_ts", "end_ts").alias("restored_ts"),
-        )
+    known = src["outages"].join(served.select("feeder_id"), "feeder_id", "left_semi")
+    swept = next_point(known, recovered, ["feeder_id"], "start_ts", "on_ts", "next_on_ts")
+    return swept.select(
+        "outage_id",
+        "feeder_id",
+        "start_ts",
+        "customers_affected",
+        "cause_code",
+        F.when(F.col("next_on_ts") < F.col("end_ts"), F.col("next_on_ts")).otherwise(F.col("end_ts")).alias("restored_ts"),
     )
 
 
@@ -191,22 +184,32 @@ def reliability_v2(src: Sources, grain: str = "month", share: float = 0.5) -> Da
     )
 
 
-def exposure(src: Sources) -> DataFrame:
-    """Every (meter, outage on its feeder), with the reads inside the outage window.
-
-    Matches are aggregated per pair first; the left join then only fills in the pairs without reads.
-    """
-    meters = src["meters"].select("meter_id", "feeder_id")
+def exposed_reads(src: Sources) -> DataFrame:
+    """(meter, outage) pairs with reads of the meter inside the outage's window, and what was read."""
     windows = src["outages"].select("outage_id", "feeder_id", "start_ts", "end_ts")
-    located = src["reads"].select("meter_id", "read_ts", "kwh_delivered").join(meters, "meter_id")
-    hits = (
+    located = src["reads"].select("meter_id", "read_ts", "kwh_delivered").join(src["meters"].select("meter_id", "feeder_id"), "meter_id")
+    return (
         interval_join(windows, located, ["feeder_id"], "start_ts", "end_ts", "read_ts")
         .groupBy("meter_id", "outage_id")
         .agg(F.count("read_ts").alias("reads_in_window"), F.sum("kwh_delivered").alias("kwh_in_window"))
     )
-    pairs = windows.join(src["feeders"].select("feeder_id", "region"), "feeder_id").join(meters, "feeder_id")
+
+
+def exposure(src: Sources, silent: bool = True) -> DataFrame:
+    """(meter, outage on its feeder), with the reads inside the outage window.
+
+    Pairs with reads come from the reads alone. Pairs without any are derived only if `silent` ones are asked for; feeders with
+    many meters and outages are then split over tasks.
+    """
+    hits = exposed_reads(src)
+    meters = src["meters"].select("meter_id", "feeder_id")
+    windows = src["outages"].select("outage_id", "feeder_id", "start_ts", "end_ts").join(src["feeders"].select("feeder_id", "region"), "feeder_id")
+    if silent:
+        pairs = split_join(meters, windows, ["feeder_id"], ["meter_id"]).join(hits, ["meter_id", "outage_id"], "left")
+    else:
+        pairs = hits.join(windows, "outage_id")
     kwh = F.coalesce("kwh_in_window", F.lit(0.0))
-    return pairs.join(hits, ["meter_id", "outage_id"], "left").select(
+    return pairs.select(
         "meter_id",
         "outage_id",
         "feeder_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import ledger as L
 from plumbline.operators import lineage as G
-from plumbline.operators.graph import reach
+from plumbline.operators.graph import reachable
 from plumbline.plans import products as P
 from plumbline.queries.base import query
 from plumbline.sources.testtables import grid, ledger, questions, table
@@ -72,7 +72,7 @@ GRAPH = {
     extra=GRAPH,
 )
 def _(spark, d):
-    return reach(order_graph(spark, d), spark.createDataFrame([("region:2",)], "node string")).select("node")
+    return reachable(order_graph(spark, d), spark.createDataFrame([("region:2",)], "node string"))[0]
 
 
 @query(
@@ -83,7 +83,7 @@ def _(spark, d):
 )
 def _(spark, d):
     debtors = table(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node"))
-    return reach(order_graph(spark, d), debtors, inclusive=True, reverse=True).select("node")
+    return reachable(order_graph(spark, d), debtors, inclusive=True, reverse=True)[0]
 
 
 @query(
