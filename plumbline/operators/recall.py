@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import result_hash
 from plumbline.functions.times import window_columns
+from plumbline.session import settle
 
 DEFAULT_MATERIALITY_PCT = 1.0
 SAME = 1e-9
@@ -24,14 +25,13 @@ CELL_KEY = ["key", "metric"]
 
 @dataclass(frozen=True)
 class Shape:
-    """A plan shape: metric from additive parts, at most one dimension, a relative window, its lineage."""
+    """A plan shape: metrics (name to expression over additive parts), dimensions, a relative window, its lineage."""
 
     name: str
-    metric: str
+    metrics: dict[str, str]
     parts: dict[str, str]
-    value: str
     window: str
-    dimension: str | None = None
+    dimensions: tuple[str, ...] = ()
     lineage: tuple[str, ...] = field(default_factory=tuple)
 
 
@@ -45,29 +45,69 @@ def requests(answers: DataFrame) -> DataFrame:
     return answers.select("shape", "scope", F.to_date("served_at").alias("as_of")).distinct()
 
 
+def _key(columns: list[str]) -> Column:
+    """One dimension as its text; several joined by "|", with "|" and "\\" inside a value marked by "\\"."""
+    if not columns:
+        return F.lit("")
+    if len(columns) == 1:
+        return F.col(columns[0]).cast("string")
+    plain = [F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c in columns]
+    return F.concat_ws("|", *[F.coalesce(c, F.lit("\\N")) for c in plain])
+
+
+def totals_of(product: DataFrame, shapes: list[Shape], time: str, scope: str) -> dict[str, DataFrame]:
+    """For each shape the parts' totals by day, scope (each and all) and dimensions: one scan and one shuffle for all shapes.
+
+    Every grouping that any shape needs is one of the grouping sets of a single aggregate, and equal parts of shapes are computed
+    once. A window over all time has no days.
+    """
+    dims = sorted({d for s in shapes for d in s.dimensions})
+    named = {d: f"_d{i}" for i, d in enumerate(dims)}
+    parts = {e: f"_p{i}" for i, e in enumerate(dict.fromkeys(e for s in shapes for e in s.parts.values()))}
+    every = ["_day", "_scope", *named.values()]
+
+    def wanted(s: Shape, scoped: bool) -> tuple[str, ...]:
+        own = {named[d] for d in s.dimensions} | ({"_scope"} if scoped else set()) | (set() if s.window == "all" else {"_day"})
+        return tuple(c for c in every if c in own)
+
+    def code(columns: tuple[str, ...]) -> int:
+        return sum(1 << len(every) - 1 - i for i, c in enumerate(every) if c not in columns)
+
+    sets = list(dict.fromkeys(wanted(s, scoped) for s in shapes for scoped in (True, False)))
+    df = product.withColumns({"_day": F.col(time), "_scope": F.col(scope), **{n: F.col(d) for d, n in named.items()}})
+    found = df.groupingSets([[F.col(c) for c in one] for one in sets], *every).agg(F.grouping_id().alias("_set"), *[F.expr(e).alias(n) for e, n in parts.items()])
+    found = settle(found, "totals")
+
+    def of(s: Shape) -> DataFrame:
+        out = None
+        for scoped in (True, False):
+            mine = found.where(F.col("_set") == code(wanted(s, scoped)))
+            who = F.col("_scope") if scoped else F.lit(ALL_SCOPES)
+            one = mine.select("_day", who.alias("scope"), _key([named[d] for d in s.dimensions]).alias("key"), *[F.col(parts[e]).alias(n) for n, e in s.parts.items()])
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    return {s.name: of(s) for s in shapes}
+
+
 def cells(asked: DataFrame, product: DataFrame, shapes: list[Shape], time: str, scope: str) -> DataFrame:
     """(shape, scope, as_of, key, metric, value) of every request, windows resolved as of its own day.
 
-    The product first shrinks to totals per day, scope and dimension; a request meets those of its days.
+    The product first shrinks to totals per day, scope and dimensions; a request meets those of its days.
     """
-    out = None
+    out, totals = None, totals_of(product, shapes, time, scope)
     for s in shapes:
-        dim = F.lit("") if s.dimension is None else F.col(s.dimension).cast("string")
-        totals = product.groupBy(F.col(time).alias("_day"), F.col(scope).alias("scope"), dim.alias("key")).agg(
-            *[F.expr(e).alias(n) for n, e in s.parts.items()]
-        )
-        whole = totals.groupBy("_day", F.lit(ALL_SCOPES).alias("scope"), "key").agg(*[F.sum(n).alias(n) for n in s.parts])
-        totals = totals.unionByName(whole)
         mine = asked.where(F.col("shape") == s.name)
-        lo, hi = window_columns(s.window, F.col("as_of"))
         if s.window == "all":
-            met = mine.join(totals, "scope")
+            summed = mine.join(totals[s.name], "scope").select(*REQUEST, "key", *s.parts)
         else:
-            met = mine.withColumn("_day", F.explode(F.sequence(lo, F.date_sub(hi, 1)))).join(totals, ["scope", "_day"])
-        summed = met.groupBy(*REQUEST, "key").agg(*[F.sum(n).alias(n) for n in s.parts])
-        if s.dimension is None:  # a total is one row even over nothing
+            lo, hi = window_columns(s.window, F.col("as_of"))
+            met = mine.withColumn("_day", F.explode(F.sequence(lo, F.date_sub(hi, 1)))).join(totals[s.name], ["scope", "_day"])
+            summed = met.groupBy(*REQUEST, "key").agg(*[F.sum(n).alias(n) for n in s.parts])
+        if not s.dimensions:  # a total is one row even over nothing
             summed = mine.withColumn("key", F.lit("")).join(summed, [*REQUEST, "key"], "left")
-        one = summed.select(*REQUEST, "key", F.lit(s.metric).alias("metric"), F.expr(s.value).alias("value"))
+        values = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(e).cast("double").alias("value")) for m, e in s.metrics.items()])
+        one = summed.select(*REQUEST, "key", F.inline(values))
         out = one if out is None else out.unionByName(one)
     return out
 

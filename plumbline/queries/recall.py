@@ -12,11 +12,18 @@ from plumbline.session import settle
 from plumbline.sources.testtables import grid, served_answers, table
 
 READS = ("consumption.kwh_delivered", "reads.kwh_delivered", "reads.read_ts")
-KWH = {"kwh": "sum(kwh_delivered)"}
+KWH, BACK = {"kwh": "sum(kwh_delivered)"}, {"back": "sum(kwh_received)"}
+DAILY = {"daily_kwh": "kwh"}
 SHAPES = [
-    R.Shape("total", "daily_kwh", KWH, "kwh", "last_7_days", lineage=READS),
-    R.Shape("by_day", "daily_kwh", KWH, "kwh", "last_7_days", "read_date", READS),
-    R.Shape("by_feeder", "daily_kwh", KWH, "kwh", "yesterday", "feeder_id", (*READS, "meters.feeder_id")),
+    R.Shape("total", DAILY, KWH, "last_7_days", lineage=READS),
+    R.Shape("by_day", DAILY, KWH, "last_7_days", ("read_date",), READS),
+    R.Shape("by_feeder", DAILY, KWH, "yesterday", ("feeder_id",), (*READS, "meters.feeder_id")),
+]
+#: Plans with several metrics and dimensions, and one over all time.
+WIDE = [
+    R.Shape("total", {"daily_kwh": "kwh", "net_share": "(kwh - back) / nullif(kwh, 0)"}, KWH | BACK, "week_before_last", lineage=READS),
+    R.Shape("by_day", {"daily_kwh": "kwh", "net_share": "(kwh - back) / nullif(kwh, 0)"}, KWH | BACK, "last_7_days", ("read_date", "feeder_id"), READS),
+    R.Shape("by_feeder", {"net_kwh": "kwh - back", "daily_kwh": "kwh"}, KWH | BACK, "all", ("region", "feeder_id"), READS),
 ]
 
 
@@ -56,11 +63,11 @@ FRAMES = {
 }
 
 
-def _both(asked, src):
+def _both(asked, src, shapes=SHAPES):
     """Results before and after the restatement. They are read several times, so they are stored."""
     asked = settle(asked, "requests")
     products = [settle(P.consumption_daily(s), "consumption") for s in (src, restated(src))]
-    return [settle(R.cells(asked, p, SHAPES, "read_date", "region"), "cells") for p in products]
+    return [settle(R.cells(asked, p, shapes, "read_date", "region"), "cells") for p in products]
 
 
 def frames(spark, d):
@@ -112,6 +119,55 @@ def _(spark, d):
     return R.diff(old, new, R.REQUEST).withColumn("pct", F.round("pct", 4))
 
 
+def _wide_sql(t):
+    whole, some = ("left join", "'' as key"), ("join", "s.read_date || '|' || s.feeder_id")
+    parts = "sum(s.kwh_delivered) as kwh, sum(s.kwh_received) as back"
+    scoped = f"(select *, region as scope from {t} union all select *, 'ALL' from {t}) s on s.scope = r.scope"
+    days = "and s.read_date < r.as_of - {} and s.read_date >= r.as_of - {}"
+    return (
+        "select shape, scope, as_of, key, m.metric, m.value from ("
+        f"select r.*, {whole[1]}, {parts} from requests r {whole[0]} {scoped} {days.format(7, 14)} where shape = 'total' group by all union all"
+        f" select r.*, {some[1]}, {parts} from requests r {some[0]} {scoped} {days.format(0, 7)} where shape = 'by_day' group by all union all"
+        f" select r.*, s.region || '|' || s.feeder_id, {parts} from requests r join {scoped} where shape = 'by_feeder' group by all) c,"
+        " lateral (select unnest(case when shape = 'by_feeder' then ['net_kwh', 'daily_kwh'] else ['daily_kwh', 'net_share'] end) as metric,"
+        " unnest(case when shape = 'by_feeder' then [kwh - back, kwh] else [kwh, (kwh - back) / nullif(kwh, 0)] end) as value) m"
+    )
+
+
+WIDE_FRAMES = {**FRAMES, "wide_old": _wide_sql("consumption"), "wide_new": _wide_sql("daily_restated")}
+
+
+def _wide(spark, d):
+    src, answers = grid(spark, d), served_answers(spark, d)
+    return answers, *_both(R.requests(answers), src, WIDE)
+
+
+@query(
+    "rec_reexecute_wide",
+    "select a.cert_id, w.key, w.metric, round(w.value, 4) as value from answers a join wide_new w on w.shape = a.shape and w.scope = a.scope"
+    " and w.as_of = a.as_of",
+    extra=WIDE_FRAMES,
+)
+def _(spark, d):
+    """Answers to plans of two metrics and up to two dimensions, executed again on the restated reads."""
+    answers, _, new = _wide(spark, d)
+    own = answers.select("cert_id", "shape", "scope", F.to_date("served_at").alias("as_of"))
+    return own.join(new, R.REQUEST).select("cert_id", "key", "metric", F.round("value", 4).alias("value"))
+
+
+@query(
+    "rec_diff_wide",
+    "select shape, scope, as_of, key, metric, 'changed' as change, a as old, b as new, round(case when a is null or b is null then 100.0 else"
+    " abs(b - a) / greatest(abs(a), 1e-9) * 100 end, 4) as pct from (select o.shape, o.scope, o.as_of, o.key, o.metric, round(o.value, 4) as a,"
+    " round(n.value, 4) as b from wide_old o join wide_new n using (shape, scope, as_of, key, metric)) where a is distinct from b and"
+    " (a is null or b is null or abs(a - b) >= 1e-9)",
+    extra=WIDE_FRAMES,
+)
+def _(spark, d):
+    _, old, new = _wide(spark, d)
+    return R.diff(old, new, R.REQUEST).withColumn("pct", F.round("pct", 4))
+
+
 @query("rec_notices", "select cert_id, consumer, max_pct from sent", extra=FRAMES)
 def _(spark, d):
     return sent_notices(*frames(spark, d)).select("cert_id", "consumer", "max_pct")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import topk
 from plumbline.functions.text import rank_documents
+from plumbline.operators import consumers
 from plumbline.operators.graph import reachable
 from plumbline.operators.joins import split_join
 from plumbline.operators.sweep import next_point
@@ -148,3 +149,40 @@ def test_next_point_against_every_pair(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     want = {i: min((t for m, t in points if m == k and k is not None and t is not None and s is not None and t >= s), default=None) for i, k, s in starts}
     assert got == want
+
+
+def brute_divergence(a, b):
+    """Both sorted by the text of their columns, then compared cell by cell."""
+    if len(a) != len(b):
+        return 1.0
+    text = lambda r: [("None" if x is None else str(x)).encode() for x in r]
+    worst = 0.0
+    for x, y in zip(sorted(a, key=text), sorted(b, key=text)):
+        for u, v in zip(x, y):
+            if isinstance(u, str) or isinstance(v, str) or u is None or v is None:
+                worst = max(worst, float(u != v))
+            elif abs(u - v) > 1e-9:
+                worst = max(worst, abs(u - v) / max(abs(u), 1e-9))
+    return worst
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_divergence_of_differing_ranges(spark, seed):
+    r = random.Random(seed)
+    a = [(f"{r.choice('abé漢')}{r.randrange(60)}", r.randrange(1, 50)) for _ in range(300)] + [(None, 3), ("", 4), ("a", 5)]
+    b = list(a)
+    for _ in range((0, 1, 3, 20, 300, 5)[seed]):
+        i = r.randrange(len(b))
+        b[i] = (b[i][0], b[i][1] * 2) if seed < 5 else (f"{r.choice('abz')}{r.randrange(60)}", b[i][1])
+    r.shuffle(b)
+    old, new = spark.createDataFrame(a, "k string, v int"), spark.createDataFrame(b, "key string, w int")
+    assert consumers.value_divergence(old, new) == pytest.approx(brute_divergence(a, b))
+    kept = consumers.differing_ranges(old, new)
+    rows = sum((k or "None")[:n] in some for n, some in kept for k, _ in a)
+    assert (rows == 0) == (seed == 0) and (seed != 1 or rows < 30)
+
+
+def test_equal_results_are_not_put_in_order(spark, monkeypatch):
+    monkeypatch.setattr(consumers, "_runs", None)
+    df = spark.range(1000).selectExpr("id % 37 as k", "id * 0.5 as v")
+    assert consumers.value_divergence(df, df.orderBy(F.desc("v")).toDF("x", "y")) == 0.0
