@@ -84,6 +84,18 @@ class VersionedTable:
     def current_version(self) -> int:
         return self._pointers().agg(F.max_by("version", "seq")).first()[0]
 
+    def current(self) -> int | None:
+        """The published version, None before the first."""
+        return self.current_version() if self._exists() else None
+
+    def drop(self, version: int) -> None:
+        """Delete a version that readers are not pointed at."""
+        if version == self.current():
+            raise ValueError(f"version {version} is published")
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self._version_path(version))
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(self._version_path(self.current_version() if version is None else version))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from random import Random
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.intervals import expand_slots, interval_join
@@ -114,3 +115,51 @@ def test_products_read_events_once_per_source(spark, small):
     assert sorted(kept) == ["meters", "outages", "reads"]
     for df in (P.reliability(src, "day", RESTORE_SHARE), *_parts(spark, small).values()):
         assert "events.parquet" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_release_is_what_was_tested(spark, tmp_path):
+    from plumbline.operators import publish
+    from plumbline.plans import contracts as C
+    from plumbline.sources.tables import VersionedTable
+
+    contract = C.Contract("t", 1, C.columns("k integer", "v double"), ("k",), (C.Expectation("positive", "v > 0"),))
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    good = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
+    assert publish.release(table, good.withColumn("v", -F.col("v")), contract, 1) == publish.Release(1, False, "failing tests: expect.positive")
+    assert table.current() is None
+    assert publish.release(table, good, contract, 1) == publish.Release(1, True, "published")
+    twice = publish.release(table, good.union(good), contract, 2)
+    assert (twice.published, twice.reason, twice.replaced) == (False, "failing tests: unique.k", 1)
+    assert publish.release(table, good, contract, 3, approved=False).reason == "not approved"
+    with pytest.raises(publish.VersionTaken):
+        publish.release(table, good, contract, 1)
+    table.write(good, 9)  # another writer stages, publishes later
+    assert publish.release(table, good.where("k = 1"), contract, 4) == publish.Release(4, True, "published", 1)
+    assert table.read().count() == 1 and table.read(1).count() == 2
+    with pytest.raises(ValueError):
+        table.drop(4)
+    assert publish.recall(table, publish.Release(5, False, "x", 4), good, [], good, "d", "s") is None
+
+
+def test_states_of_parts_merge_to_the_whole(spark, tmp_path):
+    from plumbline.operators import check_states as CS
+    from plumbline.operators.quality import check
+    from plumbline.plans import contracts as C
+
+    r = Random(5)
+    contract = C.Contract(
+        "t", 1, C.columns("a integer", "b varchar?", "p integer", "v double"), ("a", "b"),
+        (C.Expectation("positive", "v > 0"), C.Expectation("broken", "nowhere > 1")), (C.ForeignKey("p", "up", "id"), C.ForeignKey("gone", "up", "id")),
+    )
+    rows = [(r.randrange(9), r.choice(["x", "y", None]), r.choice([None, *range(6)]), r.choice([None, -1.0, 2.0])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "a int, b string, p int, v double")
+    up = {"up": spark.createDataFrame([(1,), (2,), (3,)], "id int")}
+    want = sorted(tuple(x) for x in check(df, contract, up).collect())
+    parts = [spark.createDataFrame(rows[i:j], df.schema) for i, j in ((0, 0), (0, 50), (50, 51), (51, 120))]
+    states = [CS.state_of(x, contract) for x in parts]
+    for order in (states, states[::-1], [CS.merge(states[:2]), CS.merge(states[2:])]):
+        assert sorted(tuple(x) for x in CS.results(CS.merge(order), df, contract, up).collect()) == want
+    for i, s in enumerate([states[3], *states[1:]]):
+        CS.store(s, str(tmp_path / "s"), f"p{i}")
+    CS.store(states[0], str(tmp_path / "s"), "p0")  # restated: the part's earlier state goes
+    assert sorted(tuple(x) for x in CS.results(CS.load(spark, str(tmp_path / "s"), df, contract), df, contract, up).collect()) == want
