@@ -6,7 +6,7 @@ links as (select url, case when regexp_matches(tag, '(?is)\brel\s*=\s*["'']?cano
     when regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) end as link from tags),
 full_links as (select url, case when contains(link, '://') then link when starts_with(link, '//') then regexp_extract(url, '^(.*?)://', 1) || ':' || link
     else regexp_extract(url, '^(.*?://[^/?#]*)', 1) || case when starts_with(link, '/') then link
-    else regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || link end end as link
+    when link[1] in ('?', '#') then path || link else regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || link end end as link
     from links join (select distinct url, path from parts) using (url) where link <> ''),
 hop as (select a.key as u, b.key as v from full_links f, lateral (select KEY(f.url) as key) a, lateral (select KEY(f.link) as key) b),
 reach as (select u as node, v as other from hop union select v, u from hop union select r.node, h.v from reach r join (select u, v from hop union select v, u from hop) h on r.other = h.u),
@@ -23,7 +23,7 @@ def _path(u):
 
 def _key(u):
     query = f"regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^?#]*(\\?[^#]*)?', 1)"
-    return f"case when {_host(u)} <> '' then {_host(u)} || {_path(u)} || {query} end"
+    return f"case when {_host(u)} <> '' then {_host(u)} || case when {_path(u)} = '' then '/' else {_path(u)} end || {query} end"
 
 
 def _fit(host, path, out):

@@ -20,6 +20,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 _TAG = "(?is)<(?:link|meta)\\b[^>]*>"
 _CANONICAL, _REFRESH = "(?is)\\brel\\s*=\\s*[\"']?canonical\\b", "(?is)\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"
+_DOTS, _REFERENCE = "/\\.\\.?(/|$)", "&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
 _HREF, _TARGET = "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)", "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)"
 
 
@@ -28,12 +29,38 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def _resolved(path: Column) -> Column:
+    """A path without `.` and `..`: each `..` takes the folder before it away, none goes above the root."""
+
+    def step(kept: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).when(part == ".", kept).otherwise(F.array_append(kept, part))
+
+    parts = F.split(path, "/")
+    folders = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    end = F.when(path.rlike("/\\.\\.?$"), "/").otherwise("")  # a dot at the end names a folder
+    return F.concat(F.when(F.size(folders) == 1, F.when(end == "", "/").otherwise("")).otherwise(F.array_join(folders, "/")), end)
+
+
+def _unescaped(html: Column) -> Column:
+    """Numeric character references and `&amp;` undone; others stay."""
+    refs = F.array_distinct(F.regexp_extract_all(html, F.lit(_REFERENCE), F.lit(0)))
+
+    def step(text: Column, ref: Column) -> Column:
+        code = F.regexp_extract(ref, _REFERENCE, 1)
+        digits = F.when(F.lower(F.left(code, F.lit(1))) == "x", F.lower(F.substring(code, 2, 8))).otherwise(F.lower(F.conv(code, 10, 16)))
+        known = (F.length(digits) <= 5) & (digits != "0")
+        sign = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        return F.when(known, F.replace(text, ref, sign)).otherwise(text)
+
+    return F.replace(F.when(F.size(refs) == 0, html).otherwise(F.aggregate(refs, html, step)), F.lit("&amp;"), F.lit("&"))
+
+
 def url_parts(url: Column) -> Column:
     """struct(host, path, key) of a url.
 
     Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: what follows up to `?`, `#` or the end;
-    both empty without `://` and for null. Key: host, path and query, so that scheme and fragment make no difference; null
-    without a host.
+    both empty without `://` and for null. Key: host, path and query, so that scheme and fragment make no difference; an empty path
+    is `/`, and `.` and `..` are resolved in it; null without a host.
     """
 
     def split(rest: Column) -> Column:
@@ -42,7 +69,8 @@ def url_parts(url: Column) -> Column:
         return F.struct(low.alias("host"), path.alias("path"), query.alias("query"))
 
     def keyed(p: Column) -> Column:
-        key = F.when(p["host"] != "", F.concat(p["host"], p["path"], p["query"]))
+        path = F.when(p["path"] == "", "/").when(p["path"].rlike(_DOTS), _resolved(p["path"])).otherwise(p["path"])
+        key = F.when(p["host"] != "", F.concat(p["host"], path, p["query"]))
         return F.struct(p["host"].alias("host"), p["path"].alias("path"), key.alias("key"))
 
     at = F.instr(url, F.lit("://"))
@@ -64,23 +92,24 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (u, v) between keys, from each page to its canonical link and its refresh target; null html has none.
 
-    A link may be absolute, scheme-relative, from the root, or from the page's folder.
+    A link may be absolute, scheme-relative, from the root, from the page's folder with any `.` and `..`, or a query or
+    fragment alone. Numeric character references and `&amp;` in it are undone.
     """
     found = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(
         F.col("html").rlike(_CANONICAL) | F.col("html").rlike(_REFRESH)
     )
-    tag = F.explode(F.regexp_extract_all(F.replace("html", F.lit("&amp;"), F.lit("&")), F.lit(_TAG), F.lit(0)))
-    tags = found.select("url", tag.alias("tag"))
+    tags = found.select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
     link = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(
         F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _TARGET, 1)
     )
-    links = tags.select("url", link.alias("link")).where("link <> ''").withColumn("page", url_parts(F.col("url")))
+    links = tags.select("url", _unescaped(link).alias("link")).where("link <> ''").withColumn("page", url_parts(F.col("url")))
     scheme, at = F.regexp_extract("url", "^(.*?)://", 1), F.col("page")
     folder = F.regexp_replace(F.when(at["path"] == "", "/").otherwise(at["path"]), "[^/]*$", "")
     whole = (
         F.when(F.instr("link", F.lit("://")) > 0, F.col("link"))
         .when(F.startswith("link", F.lit("//")), F.concat(scheme, F.lit(":"), "link"))
         .when(F.startswith("link", F.lit("/")), F.concat(scheme, F.lit("://"), at["host"], "link"))
+        .when(F.col("link").rlike("^[?#]"), F.concat(scheme, F.lit("://"), at["host"], at["path"], "link"))
         .otherwise(F.concat(scheme, F.lit("://"), at["host"], folder, "link"))
     )
     return links.select(at["key"].alias("u"), url_parts(whole)["key"].alias("v"))

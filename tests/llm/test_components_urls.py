@@ -82,6 +82,37 @@ def test_verdicts(spark):
     assert judge_urls(df.limit(0)).collect() == []
 
 
+LINKS = [
+    ("http://e.io/a/b", "./y", "e.io/a/y"),
+    ("http://e.io/a/b", "../z", "e.io/z"),
+    ("http://e.io/a/b/c", "../../../z/./w/", "e.io/z/w/"),
+    ("http://e.io/a/b/c", "..", "e.io/a/"),
+    ("http://e.io/a/b/", ".", "e.io/a/b/"),
+    ("http://e.io/p?a=1", "?b=2", "e.io/p?b=2"),
+    ("http://e.io/p/", "http://e.io", "e.io/"),
+    ("http://e.io?q", "/", "e.io/"),
+    ("http://e.io/p", "/x&#63;a=1&#x26;b=&#50;&amp;c", "e.io/x?a=1&b=2&c"),
+    ("http://e.io/p", "/&#228;&#x4E2D;", "e.io/ä中"),
+    ("http://e.io/p", "/&#0;&#9999999;", "e.io/&"),
+    ("http://e.io/.hidden/..x", "/.well-known/...", "e.io/.well-known/..."),
+    ("http://e.io/p", "//F.io/../../q", "f.io/q"),
+    ("http://e.io/p" + "/long" * 2000, "../" * 2000 + "k", "e.io/k"),
+]
+
+
+@pytest.mark.parametrize("kind", ["canonical", "refresh"])
+def test_links_are_resolved(spark, kind):
+    tag = '<link rel="canonical" href="{}">' if kind == "canonical" else '<meta http-equiv="refresh" content="3; url={}">'
+    df = spark.createDataFrame([(i, u, "<p>" * 30_000 + tag.format(k)) for i, (u, k, _) in enumerate(LINKS)], "page_id long, url string, html string")
+    assert {r.v for r in page_edges(df).collect()} == {k for _, _, k in LINKS}
+
+
+def test_blocks_travel_over_relative_links(spark):
+    rows = [("http://e.io/a/b", "../z"), ("http://e.io/z", "?b=2"), ("http://e.io/z?b=2", "http://e.io"), ("http://e.io/", "http://x.net/1"), ("http://other.io/", "./")]
+    df = spark.createDataFrame([(i, u, f'<link rel=canonical href="{k}">') for i, (u, k) in enumerate(rows)], "page_id long, url string, html string")
+    assert [r.verdict for r in judge_urls(df).orderBy("page_id").collect()] == ["block"] * 4 + ["allow"]
+
+
 def test_given_redirects(spark):
     df = spark.createDataFrame(PAGES[2:3], "page_id long, url string, html string")
     hops = spark.createDataFrame([("http://q.io/w?a=1&b", "http://m.io/"), ("http://m.io/", "http://z.net/"), (None, "http://z.net/")], "f string, t string")
