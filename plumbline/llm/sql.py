@@ -134,6 +134,27 @@ r as (select part, filter_order, step, filter_order[step] as own,
     sum(case when toxic and contains(fails, filter_order[step]) and translate(fails, filter_order[1:step - 1], '') = fails then n else 0 end)::bigint as toxic_lost
     from g, s group by 1, 2, 3)
 select * exclude (own), sum(removed) over (partition by part, own)::bigint as shapley from r""",
+    # CRC-32 byte by byte over every distinct run of words; its table comes from the polynomial
+    "op13_resampling": r"""
+with recursive bits(v, c, k) as (select i, i, 0 from range(256) r(i) union all select v, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+tab as materialized (select list(c order by v) as t from bits where k = 8),
+docs as (select 's' as side, doc_id as id, text from documents union all select 't', item_id, text from benchmark),
+w as (select side, id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from docs),
+g as (select side, r, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) as f from w
+    union all select side, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+    union all select side, r, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w),
+n as (select side, r, f, count(*) as n from g group by all),
+d as (select f, hex(encode(f)) as h from (select distinct f from n)),
+b as materialized (select f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 as b from d, tab),
+c as (select b, sum(case when side = 's' then n else 0 end) as s, sum(case when side = 't' then n else 0 end) as t from n join b using (f) group by 1),
+k as (select b, floor(1000 * ln((t + 1)::double * ((select sum(s) from c) + 10000) / ((s + 1)::double * ((select sum(t) from c) + 10000))))::bigint as gain from c),
+x as (select r, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from n join b using (f) join k using (b) where side = 's' group by 1),
+y as (select w.id as doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, ('0x' || sha256('42:' || coalesce(w.id::varchar, ''))[1:8])::bigint as h
+    from w left join x using (r) where side = 's'),
+z as (select doc_id, n_words >= 20 as fit, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from y),
+q as (select *, row_number() over (partition by fit order by score desc, doc_id nulls last) as p, count(*) over (partition by fit) as m from z)
+select doc_id, n_features, weight, score, case when fit and p <= 5 * m // 100 then p end::bigint as rank from q""",
     "op6_url_rules": f"""
 with recursive parts as (select page_id, url, coalesce({_host('url')}, '') as host, coalesce({_path('url')}, '') as path, {_key('url')} as key from pages),
 {_edges()}
