@@ -4,7 +4,7 @@ Lexicon: words, and stems (first letters of words), that are many times as frequ
 kept as a trie. The automaton of all words within one edit of a lexicon entry is built over the trie lazily: a state is a set
 of (trie node, edits so far), a step is remembered once taken, so that a text's words run through a plain table.
 
-Context: hits inside quotation marks or next to a reporting verb count as quoted, the others as open. A logistic model over
+Context: hits inside a pair of quotation marks (on one line, not too far apart) or next to a reporting verb count as quoted, the others as open. A logistic model over
 both kinds (weights, distinct entries, density, hits close together, address in the second person) tells abuse from quotation.
 
 The model is fitted in one task on bounded samples of labelled documents (TOXIC and CLEAN); scoring reads every text whole.
@@ -13,6 +13,7 @@ The model is fitted in one task on bounded samples of labelled documents (TOXIC
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence, Set
 from dataclasses import dataclass, field
@@ -29,7 +30,9 @@ TOXIC, CLEAN = 1500, 3000
 #: Shortest stem, longest stem, shortest entry that may be misspelt, words on either side that make a context.
 STEM, LONG_STEM, MISSPELT, WINDOW = 3, 8, 5, 6
 WORD = re.compile(r"[^\W_]+(?:['’@$*!][^\W_]+)*")
-QUOTES = re.compile("[\"“”«»„‟]")
+QUOTES = re.compile("[\"“”«»„‟\n]")
+#: Longest quotation, in characters.
+QUOTATION = 600
 REPORTING = frozenset("said says wrote writes quoted quote called asked dit écrit cité sagte schrieb zitiert dijo escribió citó".split())
 ADDRESS = frozenset("you your u du dich dir ihr tu te toi vous tú vosotros usted".split())
 
@@ -148,6 +151,28 @@ def learn_entries(toxic: Sequence[Set[str]], clean: Sequence[Set[str]]) -> list[
     return sorted(chosen)
 
 
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Where quotations begin and end: pairs of marks on one line, at most QUOTATION characters apart.
+
+    A mark may begin one if no word ends and no space follows there, and end one if no space comes before it; a mark that may begin one
+    takes the place of an earlier one left open. So an inch mark or a lost quotation mark changes nothing after it.
+    """
+    begins, ends, opened = [], [], None
+    for m in QUOTES.finditer(text):
+        at = m.start()
+        if m.group() == "\n":
+            opened = None
+            continue
+        before, after = text[at - 1 : at], text[at + 1 : at + 2]
+        if opened is not None and before and not before.isspace() and at - opened <= QUOTATION and at > opened + 1:
+            begins.append(opened)
+            ends.append(at)
+            opened = None
+        elif after and not after.isspace() and not before.isalnum():
+            opened = at
+    return begins, ends
+
+
 @dataclass
 class Model:
     entries: list[tuple[str, bool]]
@@ -177,13 +202,14 @@ class Model:
         if not hits:
             return out
         words = WORD.findall(low)
-        marks = [m.start() for m in QUOTES.finditer(low)]
+        begins, ends = quotations(low)
         open_, quoted = {}, {}
         close = said_you = 0
         places = [h[0] for h in hits]
         for i, (k, at, code, _) in enumerate(hits):
             around = words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]
-            inside = bool(marks) and int(np.searchsorted(marks, at)) % 2 == 1
+            last = bisect_left(begins, at) - 1
+            inside = last >= 0 and at < ends[last]
             kind = quoted if inside or not REPORTING.isdisjoint(around) else open_
             kind[code // 2] = max(kind.get(code // 2, 0.0), float(self.weight[code]))
             close += i > 0 and k - places[i - 1] <= WINDOW

@@ -95,6 +95,20 @@ def test_automaton_against_all_edits():
             assert got[0] == min(want)[0], word
 
 
+def test_quotations_are_pairs():
+    def inside(text):
+        return [text[a + 1 : b] for a, b in zip(*toxicity.quotations(text))]
+
+    assert inside('he "one two" and "three", then') == ["one two", "three"]
+    assert inside('a 5" pipe and a 7" one, he "said so" twice') == ["said so"]
+    assert inside('lost " mark, then "real one" and more') == ["real one"]
+    assert inside('lost "mark\nnext "line" end') == ["line"]
+    assert inside("il dit «mot» et „Wort“ und “so”") == ["mot", "Wort", "so"]
+    assert inside('("all")') == ["all"] and inside('"') == [] and inside("") == [] and inside('""') == []
+    assert inside('"far' + " x" * 400 + '" off "near"')[-1] == "near"
+    assert inside('say "' + "x " * 200 + 'y"') == ["x " * 200 + "y"]
+
+
 def test_misspelt_and_quoted_terms():
     insult, calm = "worthless", edges.WORDS
     rng = np.random.default_rng(3)
