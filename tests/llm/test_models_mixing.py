@@ -195,6 +195,25 @@ def test_the_sample_has_the_mix(spark):
     assert taken == pytest.approx(0.7 * total, rel=0.05)
 
 
+def test_shares_say_what_the_sample_holds(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    said = {(r.marginal, r.value): r for r in mixing.mix_shares(docs).collect()}
+    rows = mixing.mixing_report(docs).collect()
+    whole = sum(r.tokens * r.probability for r in rows)
+    for m in mixing.MARGINALS:
+        values = {r[m] for r in rows}
+        assert values == {v for k, v in said if k == m}
+        assert abs(sum(said[m, v].target for v in values) - 1) < 1e-6
+        for v in values:
+            own = [r for r in rows if r[m] == v]
+            s = said[m, v]
+            assert abs(s.expected - sum(r.tokens * r.probability for r in own) / whole) < 1e-6
+            assert abs(s.most - sum(r.tokens for r in own) / whole) < 1e-6
+            assert s.expected <= s.most + 1e-9 and s.reachable == (s.most >= s.target - 1e-9)
+    assert not all(s.reachable for s in said.values())  # small topics here
+    assert mixing.mix_shares(edges.no_documents(spark)).count() == 0
+
+
 def test_tokens_are_words_whatever_the_white_space(spark):
     rng = np.random.default_rng(7)
     texts = ["", " ", " " * 1000, "\t\r\n", "a", " a", "a ", "a\tb\tc\r\n" * 200, "def f():\n        return  1\n", "a\x0bb\x0cc\rd", "<>\r\t<>", "\u00a0 \u00e9t\u00e9", "\ud55c\uad6d\uc5b4 \ubb38\uc7a5"]
