@@ -107,3 +107,34 @@ def rank_documents(queries: DataFrame, documents: DataFrame, query_id: str, docu
     )
     return queries.select(query_id, F.col(text).alias("_q")).join(scored, "_q").drop("_q")
 
+
+
+def rank_in_groups(queries: DataFrame, documents: DataFrame, query_id: str, group: str, document_id: str, text: str = "text") -> DataFrame:
+    """`rank_documents` within each group of documents, for all groups at once: (query, group, document, similarity).
+
+    The group is part of every key, so that weights are those of the group's own documents. A query's length in a group is that of
+    a group which knows none of its terms, corrected for the terms it knows; only groups that share a term are met.
+    """
+    d = documents.select(F.struct(group, document_id).alias("_at"), text)
+    d = term_counts(d, "_at", unigrams_and_bigrams(F.col(text))).select(F.col(f"_at.{group}").alias("_g"), F.col(f"_at.{document_id}").alias("_d"), "term", F.col("tf").alias("d_tf"))
+    size = documents.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    known = d.groupBy("_g", "term").agg(F.count(F.lit(1)).cast("double").alias("df")).join(size, "_g")
+
+    def square(count: Column) -> Column:
+        return F.pow(F.log((F.col("n") + 2) / (1 + count)) + 1, F.lit(2))
+
+    known = known.select("_g", "term", square(F.col("df")).alias("w0"), square(F.col("df") + 1).alias("w1"), square(F.lit(1.0)).alias("unknown"))
+    d = settle(d.join(known, ["_g", "term"]), "grouped-terms")
+    d_norm = d.groupBy("_g", "_d").agg(F.sum(F.col("d_tf") * F.col("d_tf") * F.col("w0")).alias("d_len"))
+    q = term_counts(queries.select(F.col(text).alias("_q")).distinct(), "_q", unigrams_and_bigrams(F.col("_q"))).withColumnRenamed("tf", "q_tf")
+    q = settle(q, "query-terms")
+    squares = q.groupBy("_q").agg(F.sum(F.col("q_tf") * F.col("q_tf")).alias("squares"))
+    vocabulary = d.select("_g", "term", "w1", "unknown").distinct()
+    own = q.join(vocabulary, "term").groupBy("_q", "_g").agg(F.sum(F.col("q_tf") * F.col("q_tf") * (F.col("w1") - F.col("unknown"))).alias("own"), F.first("unknown").alias("unknown"))
+    q_norm = own.join(squares, "_q").select("_q", "_g", (F.col("squares") * F.col("unknown") + F.col("own")).alias("q_len"))
+    shared = q.join(d, "term").groupBy("_q", "_g", "_d").agg(
+        F.sum(F.col("q_tf") * F.col("d_tf") * F.col("w1")).alias("dot"), F.sum(F.col("d_tf") * F.col("d_tf") * (F.col("w1") - F.col("w0"))).alias("fix")
+    )
+    scored = shared.join(d_norm, ["_g", "_d"]).join(q_norm, ["_q", "_g"])
+    scored = scored.select("_q", F.col("_g").alias(group), F.col("_d").alias(document_id), (F.col("dot") / F.sqrt(F.col("q_len") * (F.col("d_len") + F.col("fix")))).alias("similarity"))
+    return queries.select(query_id, F.col(text).alias("_q")).join(scored, "_q").drop("_q")

@@ -8,7 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import rank_documents
+from plumbline.functions.text import rank_in_groups
 from plumbline.functions.times import window_bounds
 from plumbline.plans.policy import TRACER_PREFIX
 
@@ -170,11 +170,6 @@ def match(questions: DataFrame, examples: DataFrame, cues: list[str], floor: flo
     """
     text = F.lower("text")
     cued = questions.where(F.exists(F.array(*[F.lit(c) for c in cues]), lambda c: F.contains(text, c))).select("question_id", text.alias("text"))
-    names = [r[0] for r in examples.select("decision").distinct().orderBy("decision").collect()]  # a handful of packs
-    out = None
-    for n in names:
-        own = examples.where(F.col("decision") == n).select("example_id", F.lower("text").alias("text"))
-        one = rank_documents(cued, own, "question_id", "example_id").groupBy("question_id").agg(F.max("similarity").alias("similarity"))
-        one = one.where(F.col("similarity") >= floor).select("question_id", F.lit(n).alias("decision"), F.round("similarity", 4).alias("similarity"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    ranked = rank_in_groups(cued, examples.withColumn("text", text), "question_id", "decision", "example_id")
+    best = ranked.groupBy("question_id", "decision").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= floor)
+    return best.select("question_id", "decision", F.round("similarity", 4).alias("similarity"))

@@ -25,11 +25,13 @@ def benchmark(
     filter_metric: str,
     windows: tuple[str, str] = ("last_month", "last_3_months"),
     exempt: tuple[str, ...] = ("admin", "data_engineer", "ops_director"),
+    counted: str = "outage_count",
+    count_dimensions: tuple[str, ...] = ("substation_id", "feeder_id", "region"),
 ) -> DataFrame:
     """Question and gold plan per user: (user_id, text, metric, dimension, filter, time_window).
 
     Every metric by every dimension over both windows, every metric for each substation in the user's
-    scope, and the filter metric for each feeder in it. Metric and dimension lists are configuration and
+    scope, how many outages by each count dimension, and the filter metric for each feeder in scope. Metric and dimension lists are configuration and
     travel as literal arrays; the scope is an equi-join on region.
     """
     who = users.select("user_id", F.when(F.col("role").isin(*exempt), F.lit("ALL")).otherwise(F.coalesce("region", F.lit("NONE"))).alias("scope"))
@@ -51,6 +53,9 @@ def benchmark(
         .withColumn("metric", F.explode(literal(metrics)))
         .select("user_id", "metric", none.alias("dimension"), F.concat(F.lit("substation_id="), "substation_id").alias("filter"), F.lit(windows[0]).alias("time_window"))
     )
+    counts = who.withColumn("dimension", F.explode(literal(count_dimensions))).select(
+        "user_id", F.lit(counted).alias("metric"), "dimension", none.alias("filter"), F.lit(windows[0]).alias("time_window")
+    )
     by_feeder = who.join(places.select("scope", "feeder_id").distinct(), "scope").select(
         "user_id",
         F.lit(filter_metric).alias("metric"),
@@ -59,7 +64,7 @@ def benchmark(
         F.lit("last_week").alias("time_window"),
     )
     text = F.concat_ws(" ", F.col("metric"), F.concat(F.lit("by "), "dimension"), F.concat(F.lit("for "), "filter"), F.replace("time_window", F.lit("_"), F.lit(" ")))
-    return grouped.unionByName(by_station).unionByName(by_feeder).withColumn("text", text)
+    return grouped.unionByName(by_station).unionByName(counts).unionByName(by_feeder).withColumn("text", text)
 
 
 def accuracy(answers: DataFrame, truth: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ SCOPES = {
     "cases": "select user_id, metric, dim as dimension, null as filter, w as time_window from who, m, (select unnest(['substation_id',"
     " 'feeder_id']) as dim), (select unnest(['last_month', 'last_3_months']) as w) union all select user_id, metric, null,"
     " 'substation_id=' || substation_id, 'last_month' from who join places on places.scope = who.scope cross join m union all select"
+    " user_id, 'outage_count', unnest(['substation_id', 'feeder_id', 'region']), null, 'last_month' from who union all select"
     " user_id, 'daily_kwh', 'read_date', 'feeder_id=' || feeder_id, 'last_week' from who join places on places.scope = who.scope",
 }
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import topk
-from plumbline.functions.text import rank_documents
+from plumbline.functions.text import rank_documents, rank_in_groups
 from plumbline.operators import consumers
 from plumbline.operators.graph import reachable
 from plumbline.operators.joins import split_join
@@ -109,6 +109,16 @@ def test_common_terms_alone_bring_no_candidates(spark, monkeypatch):
     assert seen["candidates"].count() < 50 * 2000 / 20  # all 2,000 documents share a term with every question
 
 
+def test_groups_are_ranked_by_their_own_weights(spark):
+    r = random.Random(9)
+    docs = [(g, f"{g}{i}", t) for g in ("a", "b") for i, t in enumerate(corpus(r, 12, ["of", "the", "on"]))] + [("c", "c0", "")]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(r, 20, ["of", "the", "on"]) + ["nothing known here"])], "q int, text string")
+    df = spark.createDataFrame(docs, "g string, d string, text string")
+    got = {(x.q, x.d): x.similarity for x in rank_in_groups(asked, df, "q", "g", "d").collect()}
+    want = {(x.q, x.d): x.similarity for g in "abc" for x in rank_documents(asked, df.where(F.col("g") == g), "q", "d").collect()}
+    assert got.keys() == want.keys() and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+
+
 def test_split_join_spreads_a_heavy_key(spark):
     left = [(0 if i % 3 == 0 else i, i) for i in range(900)]
     right = [(0 if j % 3 == 0 else j, j * 10) for j in range(600)] + [(None, 1)]
