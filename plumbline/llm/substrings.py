@@ -4,6 +4,7 @@ Level 1 looks at spans of half the window (25 words). Not all of them: of the 26
 with the least hash. A window that two documents share selects the same span in both, so each is found from a fourteenth of
 the spans. Spans seen in one document alone are dropped. Level 2 takes the survivors to twice the length and more: the words
 of all windows that selected a span, hashed together. Where those words occur in an earlier document, all their windows do.
+A document states each such surrounding once, with all its places, so that text which repeats itself has no more of them than differ.
 Long passages are met first, as blocks of about BLOCK spans that begin where the span's hash says so: the spans of a block whose
 words occur in an earlier document need no looking at.
 Where one span has several surroundings, the first document of each surrounding goes to the last level: its windows of 50
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import fresh, lean, modest, small_side, utf8
@@ -29,11 +30,11 @@ from plumbline.session import discard, settle
 WINDOW = 50
 #: Spans in a block, on average.
 BLOCK = 6
-_SPANS = {"span": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "a": pa.int32(), "b": pa.int32(), "block": pa.int32()}
+_PLACES = pa.list_(pa.int32())
+_SPANS = {"span": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "a": pa.int32(), "b": pa.int32(), "more": _PLACES, "block": pa.int32()}
 _BLOCKS = {"k1": pa.int64(), "k2": pa.int64(), "x": pa.int32(), "y": pa.int32()}
-_SCAN = "doc_id long, tag long, n_words long, sha256 string, " + ", ".join(
-    f"{n} array<{'long' if k == pa.int64() else 'int'}>" for n, k in (_SPANS | _BLOCKS).items()
-)
+_NAMES = {pa.int64(): "long", pa.int32(): "int", _PLACES: "array<int>"}
+_SCAN = "doc_id long, tag long, n_words long, sha256 string, " + ", ".join(f"{n} array<{_NAMES[k]}>" for n, k in (_SPANS | _BLOCKS).items())
 
 
 def _tag(sha: bytes) -> int:
@@ -56,6 +57,33 @@ def _lists(flat: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64), kind))
 
 
+def _nested(lists: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """For each document the further places of its surroundings, null where there are none: from (places, how many)."""
+    n = np.concatenate([n for _, n in lists]) if lists else np.zeros(0, np.int64)
+    places = np.concatenate([v for v, _ in lists]) if lists else np.zeros(0, np.int64)
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(places, pa.int32()), mask=pa.array(n == 0))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(n) for _, n in lists])]).astype(np.int32)), inner)
+
+
+def _once(h: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, block: np.ndarray) -> tuple:
+    """Each surrounding of a document once, with all its places: text that repeats itself selects one span over and over.
+
+    Places beyond the first are a list of first and last starts in turn. A surrounding that has them has block -1, as they lie in several.
+    """
+    order = np.lexsort((c[:, 1], c[:, 0]))
+    new = np.concatenate([[True], (np.diff(c[order], axis=0) != 0).any(1)])
+    first, rest = order[new], order[~new]
+    further = 2 * (np.diff(np.append(np.flatnonzero(new), len(order))) - 1)
+    more = np.stack([a[rest], b[rest]], 1).ravel()
+    return h[first], c[first, 0], c[first, 1], a[first], b[first], (more, further), np.where(further > 0, -1, block[first])
+
+
+def _every(name: str, place: int) -> Column:
+    """All first (place 0) or last (place 1) starts of a row's surroundings."""
+    own = F.array(name)
+    return F.when(F.col("more").isNull(), own).otherwise(F.concat(own, F.filter("more", lambda _, i: i % 2 == place)))
+
+
 def scan_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row per document with its word count, the hash of its words, and its selected spans; stored."""
 
@@ -69,7 +97,7 @@ def scan_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 sha = hashlib.sha256(w.line)
                 plain.append((_tag(sha.digest()), w.n, sha.hexdigest()))
                 if w.n < window or doc is None:
-                    spans.append((none,) * len(_SPANS | _BLOCKS))
+                    spans.append((*(none,) * 5, (none, none), *(none,) * (1 + len(_BLOCKS))))
                     continue
                 h, a, b = _selected(w, window)
                 c = np.array([w.digest(x, y + window - 1) for x, y in zip(a.tolist(), b.tolist())], np.int64)
@@ -78,10 +106,12 @@ def scan_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 at = np.flatnonzero(begins)
                 x, y = a[at], b[np.append(at[1:], len(a)) - 1] + window
                 k = np.array([w.digest(i, j - 1) for i, j in zip(x.tolist(), y.tolist())], np.int64)
-                spans.append((h.view(np.int64), c[:, 0], c[:, 1], a, b, np.cumsum(begins) - 1, k[:, 0], k[:, 1], x, y))
+                spans.append((*_once(h.view(np.int64), c, a, b, np.cumsum(begins) - 1), k[:, 0], k[:, 1], x, y))
             tags, n, sha = zip(*plain) if plain else ((), (), ())
             cols = [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())]
-            cols += [_lists([s[k] for s in spans], kind) for k, kind in enumerate((_SPANS | _BLOCKS).values())]
+            for k, kind in enumerate((_SPANS | _BLOCKS).values()):
+                own = [s[k] for s in spans]
+                cols.append(_nested(own) if kind == _PLACES else _lists(own, kind))
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _SCAN.split(", ")])
 
     return settle(modest(docs).select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, _SCAN), "spans")
@@ -97,9 +127,9 @@ def _of_text(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
 
 
 def _ranges(df: DataFrame) -> DataFrame:
-    """The ranges of a document in one row: no more than its own windows."""
+    """The ranges of a document in one row, from lists of them: no more than its own windows."""
     kept = df.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("x", "y")).alias("r"))
-    return kept.select("doc_id", "tag", F.col("r.x").alias("x"), F.col("r.y").alias("y"))
+    return kept.select("doc_id", "tag", F.flatten("r.x").alias("x"), F.flatten("r.y").alias("y"))
 
 
 def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -129,13 +159,13 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int = WINDOW) -> D
     around = settle(level1.groupBy("span", "c1", "c2").agg(F.min("doc_id").alias("earliest")), "level2")
     several = around.groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span", F.lit(True).alias("several"))
     level2 = level1.join(around.join(several, "span", "left"), ["span", "c1", "c2"])
-    whole = level2.where("doc_id > earliest").select("doc_id", "tag", F.col("a").alias("x"), (F.col("b") + window).alias("y"))
-    single = level2.where("doc_id = earliest and several").select("doc_id", "tag", F.col("a").alias("x"), F.col("b").alias("y"))
+    whole = level2.where("doc_id > earliest").select("doc_id", "tag", _every("a", 0).alias("x"), F.transform(_every("b", 1), lambda v: v + window).alias("y"))
+    single = level2.where("doc_id = earliest and several").select("doc_id", "tag", _every("a", 0).alias("x"), _every("b", 1).alias("y"))
     single = settle(_ranges(single), "level3")
     level3 = settle(_of_text(docs, single).mapInArrow(windows, "doc_id long, tag long, x int, c1 long, c2 long"), "windows")
     least = level3.groupBy("c1", "c2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("n")).where("earliest < n")
-    ones = level3.join(least, ["c1", "c2"]).where("doc_id > earliest").select("doc_id", "tag", "x", (F.col("x") + window).alias("y"))
-    found = settle(_ranges(whole.unionByName(ones).unionByName(done.select("doc_id", "tag", "x", "y"))), "ranges")
+    ones = level3.join(least, ["c1", "c2"]).where("doc_id > earliest").select("doc_id", "tag", F.array("x").alias("x"), F.array(F.col("x") + window).alias("y"))
+    found = settle(_ranges(whole.unionByName(ones).unionByName(done.select("doc_id", "tag", F.array("x").alias("x"), F.array("y").alias("y")))), "ranges")
     discard(done, shared, level1, around, single, level3)
     return found
 

@@ -12,6 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import minhash, substrings, vectors
 from plumbline.llm.hnsw import Graph
 from plumbline.llm.words import Words
@@ -151,6 +153,18 @@ def test_passages(spark, window):
     check_removed(spark.createDataFrame(passages(), "doc_id long, text string"), window)
 
 
+def test_text_that_repeats_itself(spark):
+    """Its spans are stated once, however often it selects them, and every place of them is judged."""
+    line, other = edges.prose(90, 7), edges.prose(91, 12)
+    rows = [(1, f"{edges.prose(92, 60)} {f'{line} ' * 300}"), (2, f"{line} " * 400 + edges.prose(93, 30)), (3, f"x {f'{other} {line} {line} ' * 80}")]
+    rows += [(4, f"{line} " * 50 + "cut " + f"{line} " * 50), (5, f"{other} {line} {line} " * 9), (6, "one " * 3000), (7, "two " + "one " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_removed(df, 50)
+    places = substrings.scan_documents(df, 50).select("doc_id", F.inline(F.arrays_zip("c1", "c2", "a", "more")))
+    assert places.groupBy("doc_id", "c1", "c2").count().where("count > 1").count() == 0
+    assert places.count() < 200 < places.select(F.explode("more")).count()
+
+
 def test_passage_edges(spark):
     check_removed(edges.documents(spark), 50)
     assert substrings.substring_report(edges.no_documents(spark)).collect() == []
