@@ -1,7 +1,7 @@
 """Pack documents into windows of fixed length by best-fit decreasing.
 
 Documents are encoded and get an end id; overlong ones are first cut into full windows. Pieces are dealt to groups by a
-hash of their place, sorted longest first and put each into the tightest open window, found by a segment tree over the
+hash of themselves and of their place in the table, sorted longest first and put each into the tightest open window, found by a segment tree over the
 remaining capacities 0 to the window length. A group is a few thousand pieces, so a task holds one group's open windows
 only, however many documents there are; all groups pack alike.
 """
@@ -124,7 +124,9 @@ def pack(cut: DataFrame, window: int = 2048, group_pieces: int = GROUP_PIECES) -
         if held:
             yield from packed(pa.Table.from_batches(held))
 
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # equal rows differ by their place in the stored table, so that any number of them spreads over all groups
+    place = F.monotonically_increasing_id()
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place), F.lit(groups)))
     order = ["pack_group", F.desc("length"), "doc_id", "start", "ids_crc32"]
     return (
         dealt.repartition(min(groups, max(width(spark), groups // 64)), "pack_group")
