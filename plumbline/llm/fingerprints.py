@@ -189,9 +189,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ordered = modest(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     step = settle(ordered.mapInArrow(run, f"{ROWS}, part int, kind int, text string"), "fingerprints")
-    # a row per partition from here on
-    heads, order = step.where("kind = 2").select("part", "text"), Window.orderBy("part")
-    follow = F.coalesce(F.lead("text").over(order), F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select(F.col("part").alias("of"), follow.alias("following"))
-    tails = step.where("kind = 1").join(heads, F.col("part") == F.col("of")).select("doc_id", "text", "following")
+    # a row per partition from here on; which one follows is settled over their numbers alone, before texts meet
+    parts, order = step.where("kind = 2").select("part"), Window.orderBy("part")
+    first = F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.select("part", F.coalesce(F.lead("part").over(order), first).alias("next"))
+    heads = step.where("kind = 2").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    tails = step.where("kind = 1").select("doc_id", "text", "part").join(parts, "part").join(heads, "next").select("doc_id", "text", "following")
     return step.where("kind = 0").select(*_NAMES).unionByName(tails.mapInArrow(close, ROWS))
