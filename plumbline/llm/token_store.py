@@ -2,12 +2,12 @@
 
 A block is a byte string, kept as a binary column of Parquet so that any store Spark can write will do:
 
-    magic "PLTB1\\n" | little-endian uint32: documents, documents without id, bytes per token id | int64 first document id
+    magic "PLTB2\\n" | little-endian uint32: documents, documents without id, bytes per token id | int64 first document id
     | Elias-Fano of document ids less the first | Elias-Fano of documents + 1 boundaries | ids
 
 An Elias-Fano section is uint32 count, uint32 low bits, uint64 bytes of the lower part, uint64 bytes of the upper part, the
-parts. Numbers are written in ascending order: low bits packed, high bits in unary. `select` jumps to every 64th one through
-a sampled index built on reading.
+parts, and the samples: a uint32 for every 64th number, the place of its bit in the upper part. Numbers are written in ascending order: low
+bits packed, high bits in unary. `select` starts at the sample before a number and reads the few bytes up to it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from plumbline.llm.common import lean, modest, width
 from plumbline.llm.tokens import encoder
 from plumbline.session import settle
 
-MAGIC, HEAD, SECTION = b"PLTB1\n", "<IIIq", "<IIQQ"
+MAGIC, HEAD, SECTION = b"PLTB2\n", "<IIIq", "<IIQQ"
 #: Ids after which a block is closed; a document is never split.
 BLOCK_IDS = 1_000_000
 BLOCKS = "part int, block int, start_in_part long, n_docs long, n_ids long, payload binary"
@@ -36,49 +36,51 @@ _STEP = 64
 class EliasFano:
     """A non-decreasing sequence of non-negative integers in about 2 + log2(universe / count) bits each."""
 
-    def __init__(self, count: int, low_bits: int, lower: np.ndarray, upper: np.ndarray):
-        self.count, self.low_bits, self.lower, self.upper = count, low_bits, lower, upper
-        self._sample: np.ndarray | None = None
+    def __init__(self, count: int, low_bits: int, lower: np.ndarray, upper: np.ndarray, sample: np.ndarray):
+        self.count, self.low_bits, self.lower, self.upper, self.sample = count, low_bits, lower, upper, sample
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         v = np.asarray(values, np.uint64)
         if not len(v):
-            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8))
+            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, "<u4"))
         low_bits = max(0, (int(v[-1]) // len(v)).bit_length() - 1)
         low = ((v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
         ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(len(v))
         bits = np.zeros(int(ones[-1]) + 1, np.uint8)
         bits[ones] = 1
-        return cls(len(v), low_bits, np.packbits(low.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"))
+        return cls(len(v), low_bits, np.packbits(low.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"), ones[::_STEP].astype("<u4"))
 
     def tobytes(self) -> bytes:
-        return struct.pack(SECTION, self.count, self.low_bits, len(self.lower), len(self.upper)) + self.lower.tobytes() + self.upper.tobytes()
+        return struct.pack(SECTION, self.count, self.low_bits, len(self.lower), len(self.upper)) + self.lower.tobytes() + self.upper.tobytes() + self.sample.tobytes()
 
     @classmethod
     def read(cls, buf: memoryview, at: int) -> tuple[EliasFano, int]:
         count, low_bits, a, b = struct.unpack_from(SECTION, buf, at)
         at += struct.calcsize(SECTION)
         lower = np.frombuffer(buf, np.uint8, a, at)
-        return cls(count, low_bits, lower, np.frombuffer(buf, np.uint8, b, at + a)), at + a + b
+        sample = np.frombuffer(buf, "<u4", -(-count // _STEP), at + a + b)
+        return cls(count, low_bits, lower, np.frombuffer(buf, np.uint8, b, at + a), sample), at + a + b + sample.nbytes
 
     def _low(self, i: int) -> int:
-        bit, value = i * self.low_bits, 0
-        for k in range(self.low_bits):
-            value |= (int(self.lower[(bit + k) >> 3]) >> ((bit + k) & 7) & 1) << k
-        return value
+        bit = i * self.low_bits
+        first, last = bit >> 3, bit + self.low_bits + 7 >> 3
+        return int.from_bytes(self.lower[first:last].tobytes(), "little") >> (bit & 7) & (1 << self.low_bits) - 1
 
     def select(self, i: int) -> int:
         """The i-th number, reading only a few bytes after the nearest sample."""
         if not 0 <= i < self.count:
             raise IndexError(i)
-        if self._sample is None:
-            self._sample = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[::_STEP].astype(np.uint32)
-        at, left = int(self._sample[i // _STEP]), i % _STEP
-        while left:
-            at += 1
-            left -= int(self.upper[at >> 3]) >> (at & 7) & 1
-        return ((at - i) << self.low_bits) | self._low(i)
+        at, left = int(self.sample[i // _STEP]), i % _STEP
+        byte, bits = at >> 3, int(self.upper[at >> 3]) >> (at & 7)
+        at, left = at & 7, left + 1
+        while (n := bits.bit_count()) < left:  # whole bytes before the one that holds the bit
+            left -= n
+            byte, at, bits = byte + 1, 0, int(self.upper[byte + 1])
+        for _ in range(left - 1):
+            bits &= bits - 1
+        place = 8 * byte + at + (bits & -bits).bit_length() - 1
+        return ((place - i) << self.low_bits) | self._low(i)
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.count]
@@ -163,7 +165,7 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
         for b in batches:
             for start, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 block = Block(payload.as_py())
-                bounds = block.bounds.all()
+                bounds = np.array([block.bounds.select(i) for i in range(block.n_docs + 1)], np.int64)
                 whole = block.tokens.astype("<u4")
                 crc = [zlib.crc32(whole[a:e]) for a, e in zip(bounds[:-1], bounds[1:])]
                 cols = [block.doc_ids(), bounds[:-1] + start, np.diff(bounds), crc]

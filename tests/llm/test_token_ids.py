@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import packing, token_store
@@ -84,6 +85,14 @@ def test_packing_leaves_little_room(spark, small):
     assert sum(used) / (2048 * len(used)) > 0.97
 
 
+def test_equal_rows_spread_over_groups(spark):
+    """A hundred thousand equal rows and as many without id or text: no group holds more than a little over its share."""
+    same = spark.range(200_000).selectExpr("if(id % 2 = 0, 7L, null) as doc_id", "if(id % 2 = 0, 'the same few words', null) as text")
+    got = packing.pack_documents(same, WORD, 256, group_pieces=8192)
+    groups = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(groups) == 25 and max(groups) < 1.2 * 8192 and sum(groups) == 200_000
+
+
 def test_packing_nothing(spark):
     assert packing.pack_documents(edges.no_documents(spark), WORD).collect() == []
 
@@ -111,6 +120,8 @@ def test_elias_fano(values):
     ef, _ = token_store.EliasFano.read(memoryview(token_store.EliasFano.of(np.array(values, np.int64)).tobytes()), 0)
     assert ef.all().tolist() == values
     assert [ef.select(i) for i in range(len(values))] == values
+    read, end = token_store.EliasFano.read(memoryview(b"xy" + ef.tobytes() + b"z"), 2)
+    assert end == len(ef.tobytes()) + 2 and read.sample.tolist() == ef.sample.tolist()
     with pytest.raises(IndexError):
         ef.select(len(values))
 
