@@ -17,6 +17,8 @@ SUNSET_DAYS = 90
 CLOSE = 1e-9
 #: Ranges opened at a time, digests looked at for them, and characters of the deepest range.
 OPEN, GROUPS, DEEPEST = 256, 65_536, 12
+#: Rows that are put in order without looking further.
+FEW = 10_000
 
 
 def affected(consumers: DataFrame, refs: DataFrame, product) -> DataFrame:
@@ -96,7 +98,7 @@ def differing_ranges(old: DataFrame, new: DataFrame) -> list[tuple[int, list[str
         mixed += block
         if mixed:
             kept.append((length, mixed))
-        if len(single) > OPEN or length == DEEPEST:
+        if len(single) > OPEN or length == DEEPEST or 0 < sum(r["n"] for r in met if r["p"] in single) <= FEW:
             kept.append((length, single))
             break
         opened, length = single, length + 1
