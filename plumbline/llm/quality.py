@@ -1,7 +1,7 @@
 """Quality classifier over supervised subword embeddings.
 
-Every word, every pair of neighbouring words, and every run of three and four bytes inside a word (its edges included) has a
-learned vector, found by hashing. A text is the average of its vectors; softmax over the two classes is trained by stochastic gradient descent in numpy. Averaging
+Every word, every pair of neighbouring words, and every run of three and four characters inside a word (its edges included)
+has a learned vector, found by hashing. Characters are code points. A text is the average of its vectors; softmax over the two classes is trained by stochastic gradient descent in numpy. Averaging
 and the output layer are both linear, so the trained vectors are folded into one number per bucket for scoring.
 
 The model is fitted in one task on at most SAMPLE labelled documents, taken in order of a hash of their id. Scoring reads
@@ -23,11 +23,19 @@ from plumbline.llm.words import Words
 
 SAMPLE = 4000
 BITS, KINDS, DIM, EPOCHS, RATE = 16, 4, 8, 6, 1.0
-_ODD3, _ODD4 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+_ODD3, _ODD4, _ODD1 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+
+
+def characters(line: bytes) -> np.ndarray:
+    """A number for each character: ASCII stands for itself, other code points are spread so that sums of shifted ones differ."""
+    if line.isascii():
+        return np.frombuffer(line, np.uint8).astype(np.uint32)
+    c = np.frombuffer(line.decode().encode("utf-32-le"), "<u4")
+    return np.where(c < 128, c, c * _ODD1)
 
 
 def grams(raw: bytes) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """(buckets, which of them count) of words, word pairs, runs of three bytes and runs of four bytes.
+    """(buckets, which of them count) of words, word pairs, runs of three and runs of four characters.
 
     A pair of equal words has one bucket whatever the word. A run counts if it has no space inside; its edges may be spaces.
     """
@@ -38,10 +46,10 @@ def grams(raw: bytes) -> list[tuple[np.ndarray, np.ndarray | None]]:
     pairs = w.grams(2) >> shift
     if w.n > 1:
         pairs[w.hashes[1:] == w.hashes[:-1]] = 0
-    b = np.frombuffer(b" " + w.line + b" ", np.uint8).astype(np.uint32)
-    inside = b != 32
-    three = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
-    four = three[:-1] | b[3:] << np.uint32(24)
+    c = characters(b" " + w.line + b" ")
+    inside = c != 32
+    three = c[:-2] + (c[1:-1] << np.uint32(8)) + (c[2:] << np.uint32(16))
+    four = three[:-1] + (c[3:] << np.uint32(24))
     down = np.uint32(32 - BITS)
     return [
         ((w.hashes >> shift).astype(np.intp), None),
@@ -145,13 +153,15 @@ def score_texts(docs: DataFrame, model, out: str = "score") -> DataFrame:
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, target: str = "quality") -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of `docs`.
 
-    Null and empty texts get the score of a text without words. Without labels the score is 0.5. Other columns are ignored.
+    Null and empty texts get the score of a text without words; very long ones are scored whole. Equal texts score alike, so
+    repeated rows and ids do; a score at the threshold counts as reached. Without labels the score is 0.5; an empty table gives
+    no rows. Other columns are ignored, whatever their names.
     """
     scored = score_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, target))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score reaches the threshold, with their columns."""
+    """The documents whose score reaches the threshold, with their columns; rows are judged as in `quality_report`."""
     score = fresh("score", docs)
     return score_texts(docs, fit(docs, labels), score).where(F.col(score) >= threshold).drop(score)
