@@ -1,5 +1,7 @@
 """DuckDB text that the queries must agree with, written as brute force."""
 
+import re
+
 _EDGES = r"""
 tags as (select url, unnest(regexp_extract_all(replace(html, '&amp;', '&'), '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages),
 links as (select url, case when regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
@@ -46,40 +48,67 @@ def _words(lowered):
     return f"list_filter(string_split_regex({text}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
 
 
-def _mixing(sweeps=10, temperature=0.7, budget=0.7, seed="mix"):
-    """Raking, calibration and draw, a common table expression a step."""
-    from plumbline.llm.mixing import MARGINALS, TOPICS
+def _weight(text: str) -> str:
+    """Words and one: maximal runs of other than white space, unspaced scripts by their length."""
+    from plumbline.llm.mixing import UNSPACED
+
+    scripts = {re.sub(r"\\u(....)", r"\\x{\1}", c): n for c, n in UNSPACED.items()}
+    every = f"[{''.join(scripts)}]+"
+    words = "len(list_filter(string_split_regex({}, '[ \\x09-\\x0D]+'), lambda x: x <> ''))"
+    parts = " + ".join(f"(length({text}) - length(regexp_replace({text}, '[{c}]+', '', 'g'))) / {n}.0" for c, n in scripts.items())
+    spaced = words.format(f"regexp_replace({text}, '{every}', ' ', 'g')")
+    return f"1 + case when strlen({text}) > length({text}) and regexp_matches({text}, '{every}') then ceil({parts})::bigint + {spaced} else {words.format(text)} end"
+
+
+def _mixing(temperature=0.7, budget=0.7, seed="mix"):
+    """Goals that can be reached, bounded raking as a recursion, calibration and draw."""
+    from plumbline.llm.mixing import MARGINALS, SWEEPS, TOLERANCE, TOPICS
 
     marks = {n: " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}.0" for m in ms) for n, ms in TOPICS.items()}
     best = f"greatest({', '.join(marks.values())})"
     topic = "case " + " ".join(f"when {best} > 0 and {m} = {best} then '{n}'" for n, m in marks.items()) + " else 'prose' end"
     steps = [
         "d as (select doc_id, source, lang, coalesce(text, '') as t from documents)",
-        f"marked as (select doc_id, source, lang, {topic} as topic,"
-        " 1 + case when t = '' then 0 else 1 + length(t) - length(replace(replace(t, ' ', ''), chr(10), '')) end as tokens from d)",
-        "cells as (select source, lang, topic, sum(tokens)::bigint as tokens, sum(tokens) / (select sum(tokens) from marked)::double as fitted from marked group by all)",
+        f"marked as materialized (select doc_id, source, lang, {topic} as topic, {_weight('t')} as tokens from d)",
+        "whole as materialized (select sum(tokens)::double as n from marked)",
+        "cells as materialized (select source, lang, topic, sum(tokens)::bigint as tokens, sum(tokens) / n as fitted from marked, whole group by source, lang, topic, n)",
     ]
+
+    def filled(name, table, order):
+        """What each row of (tokens, fitted) gives: the neediest all, the others in proportion, together the budget."""
+        return [
+            f"{name}_need as (select *, fitted / tokens as need, (n * {budget} - coalesce(sum(tokens) over ({order} rows between unbounded preceding and 1 preceding), 0))"
+            f" / sum(fitted) over ({order} rows between current row and unbounded following) as factor from {table}, whole)",
+            f"{name} as materialized (select *, least(1.0, need * (select factor from {name}_need where factor * need <= 1 + 1e-12 order by need desc, factor desc limit 1)) as probability from {name}_need)",
+        ]
+
+    for m in MARGINALS:
+        steps.append(f"own_{m} as (select {m}, sum(tokens) as tokens, power(sum(fitted), {temperature}) as fitted from cells group by 1)")
+        steps.append(f"wanted_{m} as (select {m}, tokens, fitted / sum(fitted) over () as fitted from own_{m})")
+        steps += filled(f"goal_{m}", f"wanted_{m}", f"order by fitted / tokens desc, {m} nulls first")
+    goals = ", ".join(f"(select tokens * probability / ({budget} * n) from goal_{m} q where q.{m} is not distinct from z.{m}) as goal_{m}" for m in MARGINALS)
+    steps.append(f"start as materialized (select z.*, tokens / ({budget} * n) as most, {goals} from cells z, whole)")
+    last = f"(select * replace (k + 1 as k, 0.0::double as off) from r where off > {TOLERANCE} and k < {SWEEPS})"
     for m in MARGINALS:
-        steps.append(f"raw_{m} as (select {m}, power(sum(fitted), {temperature}) as g from cells group by 1)")
-        steps.append(f"goal_{m} as (select {m}, g / (select sum(g) from raw_{m}) as g from raw_{m})")
-    last = "cells"
-    for k in range(sweeps):
-        for m in MARGINALS:
-            now = f"f{k}_{m}"
-            steps.append(
-                f"{now} as materialized (select source, lang, topic, tokens, fitted * (select g from goal_{m} q where q.{m} is not distinct from z.{m})"
-                f" / sum(fitted) over (partition by {m}) as fitted from {last} z)"
-            )
-            last = now
-    order = "order by fitted / tokens desc, source nulls first, lang nulls first, topic"
+        sums = (
+            "sum(case when fitted < most then fitted else 0 end) over w as below, sum(case when fitted < most then 0 else most end) over w as taken,"
+            " sum(fitted) over w as share, sum(most) over w as every, max(most / fitted) over w as fill"
+        )
+        scale = (
+            f"case when goal_{m} >= every * (1 - 1e-12) then greatest(1.0, fill) when below > 0 and goal_{m} > taken then (goal_{m} - taken) / below else goal_{m} / share end"
+        )
+        last = (
+            f"(select * exclude (below, taken, share, every, fill) replace (greatest(off, abs(below + taken - goal_{m})) as off, fitted * ({scale}) as fitted)"
+            f" from (select *, {sums} from {last} window w as (partition by {m})))"
+        )
     steps += [
-        f"c as (select *, fitted / tokens as need, (sum(tokens) over () * {budget} - coalesce(sum(tokens) over ({order} rows between unbounded preceding and 1 preceding), 0))"
-        f" / sum(fitted) over ({order} rows between current row and unbounded following) as factor from {last})",
-        "p as (select source, lang, topic, least(1.0, need * (select factor from c where factor * need <= 1 + 1e-12 order by need desc limit 1)) as probability from c)",
-        f"drawn as (select *, ('0x' || substr(md5(doc_id::varchar || ':{seed}'), 1, 12))::bigint / 281474976710656.0 as draw from marked)",
+        f"r as (select 0 as k, 1.0::double as off, * from start union all select * replace (max(off) over () as off) from {last})",
+        "raked as (select * exclude (k, off) from r where k = (select max(k) from r))",
+        *filled("p", "raked", "order by fitted / tokens desc, source nulls first, lang nulls first, topic"),
+        f"drawn as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{seed}'), 1, 12))::bigint / 281474976710656.0 as draw from marked)",
     ]
     return (
-        f"with {', '.join(steps)} select doc_id, m.source, m.lang, m.topic, tokens, round(probability, 9) as probability, draw < probability as sampled from drawn m"
+        f"with recursive {', '.join(steps)} select doc_id, m.source, m.lang, m.topic, m.tokens, round(probability, 9) as probability, draw < probability as sampled from drawn m"
         " join p on p.source is not distinct from m.source and p.lang is not distinct from m.lang and p.topic = m.topic"
     )
 

@@ -210,10 +210,56 @@ def test_shares_say_what_the_sample_holds(spark, small):
             assert abs(s.expected - sum(r.tokens * r.probability for r in own) / whole) < 1e-6
             assert abs(s.most - sum(r.tokens for r in own) / whole) < 1e-6
             assert s.expected <= s.most + 1e-9 and s.reachable == (s.most >= s.target - 1e-9)
+        assert abs(sum(said[m, v].goal for v in values) - 1) < 1e-9
+    for s in said.values():
+        assert abs(s.expected - s.goal) < 1e-8  # every marginal is met, bounded cells or not
+        assert s.goal >= s.target - 1e-9 if s.reachable else abs(s.goal - s.most) < 1e-9
     assert not all(s.reachable for s in said.values())  # small topics here
     assert mixing.mix_shares(edges.no_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("budget", [0.3, 0.8, 1.0])
+def test_bounded_raking_is_the_closest_sample(spark, budget):
+    """Against a dual solution: kept shares are min(bound, own share x a factor for each value), and make every goal."""
+    rng = np.random.default_rng(5)
+    cells = [(s, la, t, int(rng.integers(1, 2000))) for s in ("a", "b", "c", None) for la in ("en", "de") for t in ("prose", "table", "contact")]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    rows = mixing.calibrate(mixing._rake(df, None, 0.3, 100, budget), budget).collect()
+    total = sum(r.tokens for r in rows)
+    taken = {(r.source, r.lang, r.topic): r.tokens * r.probability / (budget * total) for r in rows}
+    assert sum(taken.values()) == pytest.approx(1)
+    for i, m in enumerate(mixing.MARGINALS):
+        for v in {r[m] for r in rows}:
+            goal = next(r[f"goal_{m}"] for r in rows if r[m] == v)
+            assert sum(x for k, x in taken.items() if k[i] == v) == pytest.approx(goal, abs=1e-7)
+    # the factors of cells below their bound are products of one factor for each value
+    free = [r for r in rows if r.probability < 1 - 1e-9]
+    assert budget < 1 or not free
+    if len(free) > 9:
+        names = [(m, v) for m in mixing.MARGINALS for v in {r[m] for r in rows}]
+        x = np.array([[r[m] == v for m, v in names] for r in free], float)
+        y = np.log([r.probability for r in free])
+        assert np.abs(x @ np.linalg.lstsq(x, y, rcond=None)[0] - y).max() < 1e-5
+
+
+def test_goals_that_exclude_each_other_still_meet_the_budget(spark):
+    df = spark.createDataFrame([("a", "en", "prose", 100), ("b", "de", "prose", 900)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.1, "b": 0.9}, "lang": {"en": 0.2, "de": 0.8}}
+    got = mixing.calibrate(mixing.fit_cells(df, targets, sweeps=6, budget=0.5), 0.5).collect()
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(500)
+
+
+def test_runs_are_of_characters():
+    odd = quality.grams("\u6587\u5b57 caf\u00e9 the".encode())
+    assert [int(np.count_nonzero(use)) for _, use in odd[2:]] == [2 + 4 + 3, 1 + 3 + 2]  # " wo" to "rd ", in characters
+    plain = quality.grams(b"the")
+    assert set(plain[2][0][plain[2][1]]) <= set(odd[2][0][odd[2][1]])  # the same runs beside other scripts
+    spread = {int(quality.grams(f"\u4e00{chr(0x4E00 + a)}{chr(0x4F00 + b)}".encode())[2][0][1]) for a in range(16) for b in range(16)}
+    assert len(spread) > 250
+    emoji = quality.grams("\U0001f600\U0001f601\U0001f602".encode())
+    assert int(np.count_nonzero(emoji[2][1])) == 3
+
+
 def test_tokens_are_words_whatever_the_white_space(spark):
     rng = np.random.default_rng(7)
     texts = ["", " ", " " * 1000, "\t\r\n", "a", " a", "a ", "a\tb\tc\r\n" * 200, "def f():\n        return  1\n", "a\x0bb\x0cc\rd", "<>\r\t<>", "\u00a0 \u00e9t\u00e9", "\ud55c\uad6d\uc5b4 \ubb38\uc7a5"]
